@@ -74,12 +74,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of a single longer row."""
+def blocks(offsets: np.ndarray, limit: int, rows: int = 1 << 12) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and ``limit`` bytes, or of a single longer row."""
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), n)
+        end = min(max(end, start + 1), start + rows, n)
         yield start, end
         start = end
 

@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, linededup, secrets, sharding
+from . import decontaminate, langid, linededup, media, packing, quality, secrets, sharding
+
+
+def remainder(column: str, n: int) -> Column:
+    """crc32 of a column as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(spark, docs.where(remainder("doc_id", 4) != 2))
+    return langid.predict(spark, docs, model, ["doc_id", (remainder("doc_id", 4) == 2).alias("held_out")])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +42,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(spark, docs, labels.where(remainder("doc_id", 5) != 0))
+    scored = quality.score(spark, docs, model, ["doc_id", (remainder("doc_id", 5) == 0).alias("held_out")])
+    return scored.select(
+        "doc_id",
+        "held_out",
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+        "top_passage",
+    )
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.document_shards(spark, docs, 40).select(
@@ -38,6 +62,39 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spark, pieces, ["doc_id", "piece", "ids_crc32"])
+
+
+def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.audio_from_text(table(spark, sf_dir, "documents"))
+    read = media.read_audio(stored, ["doc_id", "n_bytes"])
+    tail = F.expr("substring(payload, octet_length(payload) - 63, 64)")
+    offsets = F.sha2(F.array_join(F.transform("seek_offsets", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    duration = F.concat_ws("/", "samples", "sample_rate")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(
+            ";",
+            F.concat(F.lit("duration="), duration),
+            F.concat(F.lit("frames="), F.col("frames")),
+            F.concat(F.lit("bad_checks="), F.col("bad_checks")),
+            F.concat(F.lit("resyncs="), F.col("resyncs")),
+            F.concat(F.lit("vbr="), F.col("vbr_consistent").cast("string")),
+            F.concat(F.lit("seek="), F.substring(offsets, 1, 16)),
+        ).alias("feature"),
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secrets.train(secrets.labelled_samples(spark))
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), ratios)
@@ -63,7 +120,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _ready(f) for f in (op2_line_dedup, op4_decontaminate, op7_hilbert_shards, op10_secret_scan)
+    f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op4_decontaminate, op5_quality, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}

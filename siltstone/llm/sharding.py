@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
 from .scratch import Scratch
 
 BITS = 10
@@ -89,8 +89,8 @@ def hilbert_shards(
     Rows equal in all of ``order`` are interchangeable.  No rows give no rows.
     """
     taken = set(rows.columns)
-    if taken & {"curve", "shard", "slot", "_part", "_index"}:
-        raise ValueError("rows may not have the columns curve, shard, slot, _part and _index")
+    if taken & {"curve", "shard", "slot", "rank", "_part", "_index"}:
+        raise ValueError("rows may not have the columns curve, shard, slot, rank, _part and _index")
     if bits * len(dimensions) > 62:
         raise ValueError("bits times dimensions may be 62 at most")
 
@@ -100,42 +100,17 @@ def hilbert_shards(
             curve = pa.array(hilbert_index(cells, bits))
             yield pa.RecordBatch.from_arrays([*batch.columns, curve], [*batch.schema.names, "curve"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(seen, seen + n, dtype=np.int64))],
-                [*batch.schema.names, "_part", "_index"],
-            )
-            seen += n
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     curved = rows.mapInArrow(add_curve, f"{schema}, curve bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = curved.repartitionByRange(parts, "curve", *order).sortWithinPartitions("curve", *order)
-    scratch = Scratch(spark, label)
-    placed = scratch.save(dealt.mapInArrow(number, f"{schema}, curve bigint, _part bigint, _index bigint"), "placed")
-
-    # One count a partition: bounded by the number of shuffle partitions.
-    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    total, before, offsets = sum(counts.values()), 0, []
-    for part in sorted(counts):
-        offsets.append((part, before))
-        before += counts[part]
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_part bigint, _before bigint")
-    rank = F.col("_before") + F.col("_index")
+    ranked, total = with_rank(spark, curved, [F.col(c) for c in ("curve", *order)], Scratch(spark, label), "placed")
+    rank = F.col("rank")
     size, more = divmod(total, shards)  # the first ``more`` shards have one row more
     long_end = more * (size + 1)
-    shard = F.when(rank < long_end, F.expr(f"(_before + _index) div {size + 1}")).otherwise(
-        F.lit(more) + F.expr(f"(_before + _index - {long_end}) div {max(size, 1)}")
+    shard = F.when(rank < long_end, F.expr(f"rank div {size + 1}")).otherwise(
+        F.lit(more) + F.expr(f"(rank - {long_end}) div {max(size, 1)}")
     )
     slot = F.when(rank < long_end, rank % (size + 1)).otherwise((rank - long_end) % max(size, 1))
-    return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumns({"shard": shard.cast("int"), "slot": slot.cast("bigint")})
-        .drop("_part", "_index", "_before")
-    )
+    return ranked.withColumns({"shard": shard.cast("int"), "slot": slot.cast("bigint")}).drop("rank")
 
 
 def document_shards(spark: SparkSession, docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, langid, linededup, media, packing, quality, secrets, sharding
+from . import decontaminate, langid, linededup, media, minhash, packing, quality, secrets, sharding
 
 
 def remainder(column: str, n: int) -> Column:
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(spark, docs, items)
@@ -120,7 +124,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op4_decontaminate, op5_quality, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
+    f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_decontaminate, op5_quality, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}

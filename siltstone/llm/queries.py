@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, langid, linededup, media, minhash, packing, quality, secrets, sharding
+from . import decontaminate, langid, linededup, lm, media, minhash, packing, quality, secrets, sharding
 
 
 def remainder(column: str, n: int) -> Column:
@@ -59,6 +59,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(spark, docs.where(remainder("doc_id", 7) != 2))
+    scored = lm.score(spark, docs, model, ["doc_id", (remainder("doc_id", 7) == 2).alias("held_out")])
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.document_shards(spark, docs, 40).select(
@@ -124,7 +133,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_decontaminate, op5_quality, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
+    f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_decontaminate, op5_quality, op6_kneser_ney, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}

@@ -174,6 +174,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     )
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document left of each component, the one of the least doc_id.
+
+    The ids that go are broadcast if they are few, else joined by a shuffle.
+    """
+    scratch = Scratch(spark, "dropped")
+    found = near_duplicates(spark, docs.select("doc_id", "text"), width, percent)
+    gone = scratch.save(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _across(spark: SparkSession, scratch: Scratch, met: DataFrame, component: DataFrame, edges: DataFrame, links) -> tuple[DataFrame, DataFrame]:
     """Examine the pairs of each bucket that lie in different components."""
     for turn in range(4):

@@ -202,15 +202,18 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column
 
     Null and empty texts are one empty passage.
     """
-    kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_q_text"))
-    names = kept.columns[:-1]
+    kept = docs.select(*(keep or ["doc_id"]))
+    names, text = kept.columns, "text"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    if not any(isinstance(c, str) and c == "text" for c in keep or ["doc_id"]):  # else the text goes to Python once
+        text = "_q_text"
+        kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias(text))
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column("_q_text"))
+            data, offsets = utf8(batch.column(text))
             out, top = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, j in blocks(offsets, BLOCK):
                 out[i:j], top[i:j] = _score_block(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

@@ -64,7 +64,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
     )
     here = F.struct("_ld_id", "_ld_text", "_ld_at")
     later = (
-        occurrences.join(first, ["_ld_a", "_ld_b"])
+        occurrences.join(first.hint("merge"), ["_ld_a", "_ld_b"])
         .where(here != F.col("_ld_first"))
         .select("_ld_id", "_ld_text", "_ld_at")
         .groupBy("_ld_id", "_ld_text")
@@ -79,7 +79,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
     covers = scratch.save(later.select("_ld_id", "_ld_text", covered.alias("_ld_covered")), "covered")
     changed = F.col("_ld_covered").isNotNull()
     return (
-        keyed.join(covers, ["_ld_id", "_ld_text"], "left")
+        keyed.join(covers.hint("merge"), ["_ld_id", "_ld_text"], "left")
         .withColumn("_ld_lines", lines)
         .withColumns(
             {

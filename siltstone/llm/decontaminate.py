@@ -9,7 +9,7 @@ spaces before them, and from words to code points of the original text.
 
 The automaton is shared by broadcast.  Its size follows the benchmark, not the
 documents, and is checked: items are dealt into blocks of at most
-``max_pattern_bytes``; more than one block means one scan a block and a merge.
+``max_pattern_bytes``; more than one block means one scan a block, without a shuffle.
 """
 
 from __future__ import annotations
@@ -97,13 +97,18 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[
             first = text.count(" ", 0, start)
         spans.append((first, first + n))
         found.update(ids)
+    return len(parts), merge_ranges(spans), sorted(found)
+
+
+def merge_ranges(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open ranges in order, those that meet joined."""
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return len(parts), merged, sorted(found)
+    return merged
 
 
 def original_spans(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,10 +154,14 @@ def find_contamination(
     names = [i for i, _ in items]
     blocks = pattern_blocks(items, window, max_pattern_bytes) or [[]]
 
-    def pass_over(block: list[tuple[str, list[int]]]) -> DataFrame:
+    columns = [*dict.fromkeys([*keep, "text"])]
+    text_of = docs.select(*columns)
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text_of.schema)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+
+    def pass_over(rows: DataFrame, block: list[tuple[str, list[int]]], first: bool, last: bool) -> DataFrame:
+        """One scan; what earlier blocks found comes along in two columns, and the text until the last."""
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, names))
-        columns = [*dict.fromkeys([*keep, "text"])]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, patterns, ids = shared.value
@@ -160,34 +169,27 @@ def find_contamination(
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
                 count, ranges, spans, found = [], [], [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                     raw = data[a:b].tobytes()
                     n, hit, which = scan(raw, machine) if machine else (len(words(raw)), [], [])
+                    items = {ids[x] for x in which}
+                    if not first:
+                        hit = merge_ranges([*hit, *((x["first"], x["end"]) for x in batch.column("hit_words")[k].as_py())])
+                        items.update(batch.column("items")[k].as_py())
                     count.append(n)
                     ranges.append([{"first": x, "end": y} for x, y in hit])
-                    spans.append([{"first": x, "end": y} for x, y in original_spans(raw, hit)] if hit else [])
-                    found.append(sorted({ids[k] for k in which}))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(count, pa.int64()), pa.array(ranges, _SPAN), pa.array(spans, _SPAN), pa.array(found, pa.list_(pa.string()))],
-                    [*keep, "n_words", "hit_words", "hit_spans", "items"],
-                )
-
-        return docs.select(*columns).mapInArrow(run, f"{schema}, {SCHEMA}")
-
-    if len(blocks) == 1:
-        return pass_over(blocks[0])
-    whole = pass_over(blocks[0])
-    for block in blocks[1:]:
-        whole = whole.unionByName(pass_over(block))
-    merge = lambda c: F.expr(
-        f"aggregate(array_sort(flatten(collect_list({c}))), cast(array() as array<struct<first:bigint,end:bigint>>), (m, x) -> "
-        "CASE WHEN size(m) > 0 AND x.first <= element_at(m, -1).end THEN concat(slice(m, 1, size(m) - 1), "
-        "array(named_struct('first', element_at(m, -1).first, 'end', greatest(element_at(m, -1).end, x.end)))) "
-        "ELSE concat(m, array(x)) END)"
-    ).alias(c)
-    return whole.groupBy(*keep).agg(
-        F.max("n_words").alias("n_words"), merge("hit_words"), merge("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+                    spans.append([{"first": x, "end": y} for x, y in original_spans(raw, hit)] if hit and last else [])
+                    found.append(sorted(items))
+                out = [pa.array(count, pa.int64()), pa.array(ranges, _SPAN), pa.array(spans, _SPAN), pa.array(found, pa.list_(pa.string()))]
+                own = keep if last else columns
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *out], [*own, "n_words", "hit_words", "hit_spans", "items"])
+
+        return rows.mapInArrow(run, f"{kept if last else given}, {SCHEMA}")
+
+    found = text_of
+    for k, block in enumerate(blocks):
+        found = pass_over(found, block, k == 0, k == len(blocks) - 1)
+    return found
 
 
 def hit_count() -> Column:

@@ -8,7 +8,7 @@ a logistic layer scores the weighted mean of h.  Only document labels are known;
 the weights are learned from them.
 
 Fitting takes a bounded sample of labelled rows (``max_documents``, those with
-the least hash of doc_id) on the driver.  Scoring covers every passage of every
+the least hash of doc_id, but for texts over ``max_bytes``) on the driver.  Scoring covers every passage of every
 text, with running sums for the softmax, so memory doesn't follow text length.
 """
 
@@ -26,6 +26,7 @@ from .kernels import blocks, hash_words, row_of, utf8
 
 PASSAGE = 64
 MAX_DOCUMENTS = 3000
+MAX_FIT_BYTES = 1 << 18
 HASHED = 64
 BLOCK = 1 << 19
 
@@ -100,11 +101,12 @@ class Model:
 
     def embed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings and attention logits of passages."""
-        h = np.tanh(x @ self.encode[:-1] + self.encode[-1])
+        h = np.tanh(x.astype(np.float64) @ self.encode[:-1] + self.encode[-1])
         return h, (np.tanh(h @ self.v) * _sigmoid(h @ self.u)) @ self.w
 
     def score(self, mean: np.ndarray) -> np.ndarray:
-        return _sigmoid(mean @ self.c + self.b)
+        """Rounded, so that equal texts score alike in batches of any shape."""
+        return np.round(_sigmoid(mean @ self.c + self.b), 9)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,7 +122,7 @@ def fit(x: np.ndarray, row: np.ndarray, labels: np.ndarray, hidden: int = 24, at
     f = x.shape[1]
     if len(labels) == 0 or labels.min() == labels.max():
         b = 0.0 if len(labels) == 0 else (12.0 if labels[0] else -12.0)
-        return Model(np.zeros((f + 1, hidden), np.float32), np.zeros((hidden, attention)), np.zeros((hidden, attention)), np.zeros(attention), np.zeros(hidden), b)
+        return Model(np.zeros((f + 1, hidden)), np.zeros((hidden, attention)), np.zeros((hidden, attention)), np.zeros(attention), np.zeros(hidden), b)
     p = [
         rng.normal(0, 1 / np.sqrt(f), (f + 1, hidden)), rng.normal(0, 0.3, (hidden, attention)), rng.normal(0, 0.3, (hidden, attention)),
         rng.normal(0, 0.3, attention), rng.normal(0, 0.3, hidden), np.zeros(1),
@@ -157,10 +159,10 @@ def fit(x: np.ndarray, row: np.ndarray, labels: np.ndarray, hidden: int = 24, at
                 square[k] = 0.999 * square[k] + 0.001 * grad * grad
                 p[k] = p[k] - rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
     encode, v, u, w, c, b = p
-    return Model(encode.astype(np.float32), v.astype(np.float32), u.astype(np.float32), w.astype(np.float32), c.astype(np.float32), float(b[0]))
+    return Model(encode, v, u, w, c, float(b[0]))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_FIT_BYTES) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality); null labels teach nothing.
 
     Of a document with several labels the least counts.
@@ -185,6 +187,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents
 
     rows = (
         docs.select("doc_id", "text")
+        .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", F.col("_q_label").cast("int").alias("_q_label"), "text")
         .mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary")

@@ -5,12 +5,14 @@
    16 bits each: 32 longs of four minima, which are also the band keys.
 2. Documents with equal sets form a class; only the class's least doc_id goes on.
 3. Classes that share a band key meet in a bucket.  Each bucket links its members
-   to its least member, not to each other.
+   to a hub, not to each other: the member that meets most others in all bands,
+   which among copies tends to be what they were copied from.
 4. Candidates pass a check of their signatures, then are confirmed on the full
    sets.  Confirmed links give components.
-5. Buckets that still span several components have links not yet ruled out:
-   exactly their pairs across components are examined (first against one member
-   of each component, where there are many), so no link is lost to step 3.
+5. Buckets that still span several components may hide links between members that
+   are no hubs.  Those outside the bucket's main component are compared with all
+   others on their sets, in tiles of bounded size that emit only links.  So no link
+   is lost to step 3, and rows don't grow with the pairs of a group.
 
 With 32 bands of 4 a pair of similarity 0.8 meets in none with probability 5e-8.
 """
@@ -37,6 +39,9 @@ BLOCK = 1 << 21
 LEAST_AGREEMENT = 75
 BROADCAST_IDS = 1_000_000
 
+TILE, TILE_SHINGLES = 1024, 1 << 20
+GATHERED = 1 << 21
+
 _RNG = np.random.default_rng(77003)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -49,7 +54,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def signatures(values: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Minima of all hash functions (rows x 128), 16 bits each; empty rows are zero."""
+    """Minima of the hash functions x -> a x + b (rows x 128), 16 bits each; empty rows are zero."""
     out = np.zeros((len(index) - 1, BANDS * ROWS), np.uint16)
     full = np.flatnonzero(np.diff(index))
     if not len(full):
@@ -141,10 +146,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     alone = prof.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.lit(None).cast("array<bigint>").alias("sig"))
     members = scratch.save(members.unionByName(alone), "members")
     scratch.drop("profile", "classes")
-    sigs = members.where("sig IS NOT NULL").select(F.col("rep").alias("id"), "sig")
+    sigs = members.where("sig IS NOT NULL").select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "sig")
 
     bands = sigs.select("id", F.posexplode("sig").alias("band", "key"))
-    buckets = scratch.save(bands.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last"), "buckets")
+    buckets = bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    buckets = scratch.save(buckets.where("first <> last").select("band", "key", "n"), "buckets")
     met = scratch.save(bands.join(buckets, ["band", "key"]), "met")
     involved = scratch.save(met.select("id").distinct(), "involved")
     few = involved.count() <= BROADCAST_IDS
@@ -153,19 +159,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     )
     sigs = scratch.save(sigs.join(F.broadcast(involved) if few else involved, "id", "left_semi"), "sigs")
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-        two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        near = pairs.join(one, "a").join(two, "b").where(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
-        near = scratch.save(near, f"{name}-near")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return scratch.save(confirm(near.join(one, "a").join(two, "b"), width, percent), name)
-
-    tested = scratch.save(met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "tested")
-    edges = links(tested, "edges")
+        return scratch.save(confirm(pairs.join(one, "a").join(two, "b"), width, percent), name)
+
+    # Hubs: of each bucket the member that meets most others over all bands.
+    meets = scratch.save(met.groupBy("id").agg(F.sum("n").alias("meets")), "meets")
+    ranked = scratch.save(met.join(meets, "id").select("band", "key", "id", F.struct("meets", (-F.col("id")).alias("least")).alias("rank")), "ranked")
+    hubs = scratch.save(ranked.groupBy("band", "key").agg(F.max("rank").alias("hub")), "hubs")
+    tested = ranked.join(hubs, ["band", "key"]).select(F.col("id").alias("a"), (-F.col("hub.least")).alias("b")).where("a <> b").distinct()
+    one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    near = tested.join(one, "a").join(two, "b").where(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
+    edges = confirmed(scratch.save(near, "near"), "edges")
     component = scratch.save(connected_components(spark, edges), "component")
-    component, edges = _across(spark, scratch, met, component, edges, links)
+    apart = _apart(scratch, met, component, sigs.select("id", "size"), texts, width, percent)
+    if apart is not None:
+        edges = edges.unionByName(confirmed(scratch.save(apart, "apart"), "more"))
+        component = scratch.save(connected_components(spark, edges), "whole")
     labels = component.select(F.col("node").alias("rep"), "component")
     joined = members.drop("sig").join(labels, "rep", "left")
     found = F.coalesce("component", "rep")
@@ -185,32 +197,84 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDT
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _across(spark: SparkSession, scratch: Scratch, met: DataFrame, component: DataFrame, edges: DataFrame, links) -> tuple[DataFrame, DataFrame]:
-    """Examine the pairs of each bucket that lie in different components."""
-    for turn in range(4):
-        named = met.select("band", "key", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-        named = named.select("band", "key", "id", F.coalesce("component", "id").alias("comp"))
-        parts = scratch.save(
-            named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id"))["id"].alias("one")),
-            f"parts{turn}",
-        )
-        mixed = scratch.save(
-            parts.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("k > 1"),
-            f"mixed{turn}",
-        )
-        total = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("rows"), F.sum(F.col("all") * (F.col("k") - 1)).alias("star")).first()
-        if not total["rows"]:
-            return component, edges
-        inside = scratch.save(named.join(mixed.select("band", "key"), ["band", "key"]), f"inside{turn}")
-        last = turn == 3 or total["pairs"] <= 4 * total["rows"] or total["star"] * 4 > total["pairs"]
-        other = inside.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-        if not last:
-            other = parts.join(mixed.select("band", "key"), ["band", "key"]).select("band", "key", F.col("one").alias("b"), F.col("comp").alias("comp_b"))
-        apart = F.col("comp") < F.col("comp_b") if last else F.col("comp") != F.col("comp_b")
-        pairs = inside.join(other, ["band", "key"]).where(apart).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        new = links(scratch.save(pairs, f"pairs{turn}"), f"edges{turn}")
-        edges = scratch.save(edges.unionByName(new), f"all{turn}")
-        component = scratch.save(connected_components(spark, edges), f"component{turn}")
-        if last:
-            return component, edges
-    return component, edges
+def _packed_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of texts (id, text): 32 bits of each shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for i, j in blocks(offsets, BLOCK):
+                values, index = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                short = (values >> np.uint64(32)).astype(np.uint32)
+                packed = [short[a:b].tobytes() for a, b in zip(index[:-1].tolist(), index[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(packed, pa.binary())], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+
+
+def _linked(tile: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, b) of one tile that lie in different components and share enough shingles."""
+    ids, comps, chunks = (tile.column(c).to_numpy() for c in ("id", "comp", "chunk"))
+    held = [np.frombuffer(x, np.uint32) for x in tile.column("shingles").to_pylist()]
+    one, two = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    left, right = np.flatnonzero(chunks == one), np.flatnonzero(chunks == two)
+    found = [np.zeros((0, 2), np.int64)]
+    if len(left) and len(right):
+        size = np.array([len(held[k]) for k in right])
+        every, owner = np.concatenate([held[k] for k in right]), np.repeat(np.arange(len(right)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for k in left:
+            shared = np.zeros(len(right), np.int64)
+            first, last = np.searchsorted(every, held[k]), np.searchsorted(every, held[k], side="right")
+            ends = np.cumsum(last - first)
+            for lo, hi in blocks(np.concatenate([[0], ends]), GATHERED, 1 << 30):
+                many = (last - first)[lo:hi]
+                before = np.cumsum(many) - many
+                shared += np.bincount(owner[np.repeat(first[lo:hi] - before, many) + np.arange(int(many.sum()))], minlength=len(right))
+            near = (100 * shared >= percent * (len(held[k]) + size - shared)) & (comps[right] != comps[k])
+            other = ids[right[near]]
+            found.append(np.stack([np.maximum(other, ids[k]), np.minimum(other, ids[k])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _apart(
+    scratch: Scratch, met: DataFrame, component: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame | None:
+    """Linked pairs (a, b) across the components of buckets; None where no bucket spans several.
+
+    A bucket's main component is its largest.  Outsiders and main members are
+    dealt by hash to chunks of about TILE rows and TILE_SHINGLES shingles; a tile
+    holds a chunk of outsiders and one other chunk.
+    """
+    named = met.select("band", "key", "id").join(sizes, "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = scratch.save(named.select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp")), "named")
+    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = parts.groupBy("band", "key").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp", "size")).alias("main")
+    )
+    chunks = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
+    mixed = scratch.save(
+        mixed.where("k > 1").select(
+            "band",
+            "key",
+            F.col("main.comp").alias("main"),
+            chunks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"),
+            chunks(F.col("main.n"), F.col("main.size")).alias("inner"),
+        ),
+        "mixed",
+    )
+    if mixed.isEmpty():
+        return None
+    inside = scratch.save(named.drop("size").join(mixed, ["band", "key"]), "inside")
+    packed = scratch.save(_packed_sets(texts.join(inside.select("id").distinct(), "id", "left_semi"), width), "packed")
+    outsider = F.col("comp") != F.col("main")
+    spread = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
+    dealt = inside.withColumn("chunk", F.when(outsider, spread(F.col("outer"))).otherwise(F.col("outer") + spread(F.col("inner"))))
+    others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
+    tiles = dealt.select("band", "key", "id", "comp", "chunk", F.explode(others).alias("other")).select(
+        "band", "key", "id", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+    )
+    found = tiles.join(packed, "id").groupBy("band", "key", "i", "j").applyInArrow(lambda tile: _linked(tile, percent), "a bigint, b bigint")
+    return found.distinct()

@@ -106,6 +106,56 @@ def lru_hits_by(access: DataFrame, order: list[str], capacity: int) -> DataFrame
 _USED = ("bytes in use",)  # no key of a trace is a tuple
 
 
+MACHINE = "struct<hit:boolean,value:string,evicted:array<string>,items:int,bytes:bigint>"
+
+
+def lru_machine(ops: DataFrame, capacity: int) -> DataFrame:
+    """``ops`` (shard, seq, op, key, value, ttl, at) with what each did: hit, value, evicted keys in order, items, bytes.
+
+    ``op`` is get, add, remove or purge.  get finds an entry unless it expired
+    before ``at``, and makes it the most recent; add replaces or inserts, with an
+    expiry if ttl is positive, and then drops the least recent while the shard
+    is over ``capacity`` (0: unbounded); remove drops one key; purge drops all
+    that expired.  Every drop counts as an eviction.
+    """
+
+    def step(held: OrderedDict, row: tuple) -> dict:
+        _, _, op, key, value, ttl, at = row
+        size = lambda k: len(k.encode()) + len(held[k][0].encode())
+        state = held.setdefault(_USED, [0])
+        held.move_to_end(_USED, last=False)
+        hit, found, gone = False, None, []
+
+        def drop(k: str) -> None:
+            state[0] -= size(k)
+            del held[k]
+            gone.append(k)
+
+        if op == "get":
+            if key in held and held[key][1] is not None and held[key][1] < at:
+                drop(key)
+            elif key in held:
+                hit, found = True, held[key][0]
+                held.move_to_end(key)
+        elif op == "add":
+            if key in held:
+                state[0] -= size(key)
+            held[key] = (value or "", at + ttl if ttl and ttl > 0 else None)
+            held.move_to_end(key)
+            state[0] += size(key)
+            while capacity and state[0] > capacity:
+                drop(next(k for k in held if k != _USED))
+        elif op == "remove" and key in held:
+            drop(key)
+        elif op == "purge":
+            for k in [k for k in held if k != _USED and held[k][1] is not None and held[k][1] < at]:
+                drop(k)
+        return {"hit": hit, "value": found, "evicted": gone, "items": len(held) - 1, "bytes": state[0]}
+
+    rows = ops.select("shard", "seq", "op", "key", "value", "ttl", "at")
+    return sorted_fold(rows, "shard", ["seq"], OrderedDict, step, MACHINE, "done")
+
+
 def lru_contents(adds: DataFrame, capacity: int) -> DataFrame:
     """What write-only adds of distinct keys leave: in each shard, the longest suffix that fits.
 

@@ -50,9 +50,12 @@ def write_states(writes: DataFrame, as_of: int, lag: int) -> DataFrame:
     """Cache and durable value of each key at ``as_of``, from writes (key, value, strategy, at, tie).
 
     The cache has every write at once.  The source has write-through writes at
-    once and write-back writes after ``lag``.
+    once and write-back writes after ``lag``.  Another strategy is an error.
     """
-    known = writes.where("strategy IN ('write_through', 'write_back')")
+    strategy = F.col("strategy")
+    known = writes.withColumn(
+        "strategy", F.when(strategy.isin(WRITE_THROUGH, WRITE_BACK), strategy).otherwise(F.raise_error(F.lit("unknown write strategy")))
+    )
     durable_at = F.when(F.col("strategy") == WRITE_THROUGH, F.col("at")).otherwise(F.col("at") + lag)
     in_cache, durable = F.col("at") <= as_of, durable_at <= as_of
     return (

@@ -39,5 +39,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared checkpoint folder, its lineage cut; the folder is the session's, or our own where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

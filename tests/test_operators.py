@@ -115,6 +115,31 @@ def test_lru_eviction_keeps_a_suffix(spark):
     assert {r.key for r in cache.lru_contents(adds, 3).collect()} == set()
 
 
+OPS = "shard int, seq int, op string, key string, value string, ttl bigint, at bigint"
+
+
+def done(spark, ops, capacity):
+    rows = [(0, i, *op) for i, op in enumerate(ops)]
+    return [r.done for r in cache.lru_machine(spark.createDataFrame(rows, OPS), capacity).orderBy("seq").collect()]
+
+
+def test_machine_get_and_eviction_order(spark):
+    adds = [("add", k, v, 0, 0) for k, v in (("key1", "123456"), ("k2", "k2"), ("k3", "k3"), ("k4", "k4"))]
+    got = done(spark, adds, 10)
+    assert [k for r in got for k in r.evicted] == ["key1", "k2"] and (got[-1]["items"], got[-1].bytes) == (2, 8)
+    got = done(spark, [("add", "key1", "1234", 0, 0), ("get", "key1", None, None, 0), ("get", "key2", None, None, 0)], 0)
+    assert [(r.hit, r.value) for r in got[1:]] == [(True, "1234"), (False, None)]
+
+
+def test_machine_expiry_purge_remove_and_update(spark):
+    got = done(spark, [("add", "key1", "v", 1000, 0), ("get", "key1", None, None, 1000), ("get", "key1", None, None, 2000)], 0)
+    assert [r.hit for r in got[1:]] == [True, False] and got[2].evicted == ["key1"]
+    got = done(spark, [("add", "key1", "v", 100, 0), ("add", "key2", "v", 3600000, 0), ("purge", None, None, None, 200), ("remove", "key2", None, None, 200), ("remove", "key2", None, None, 200)], 0)
+    assert [r["items"] for r in got] == [1, 2, 1, 0, 0] and [r.evicted for r in got[2:]] == [["key1"], ["key2"], []]
+    got = done(spark, [("add", "k", "v", 0, 0), ("add", "k", "vvvv", 0, 0), ("add", "big", "x" * 50, 0, 0)], 20)
+    assert [r.bytes for r in got] == [2, 5, 0] and got[2].evicted == ["k", "big"]
+
+
 def test_capacity_rules():
     assert cache.shard_capacity(0) == 1024 and cache.shard_capacity(255) == 1024
     assert cache.shard_capacity(2048) == 8 and cache.shard_capacity(cache.hot_capacity(2048)) == 1
@@ -157,9 +182,11 @@ def test_tiers_in_order(spark):
 
 
 def test_write_strategies(spark):
-    writes = spark.createDataFrame([("k1", "v1", tiers.WRITE_THROUGH, 0, 0), ("k2", "v2", tiers.WRITE_BACK, 0, 1), ("k3", "v3", "other", 0, 2)], "key string, value string, strategy string, at bigint, tie bigint")
+    writes = spark.createDataFrame([("k1", "v1", tiers.WRITE_THROUGH, 0, 0), ("k2", "v2", tiers.WRITE_BACK, 0, 1)], "key string, value string, strategy string, at bigint, tie bigint")
     assert pairs(tiers.write_states(writes, 0, 100)) == {("k1", "v1", "v1"), ("k2", "v2", None)}
     assert pairs(tiers.write_states(writes, 100, 100)) == {("k1", "v1", "v1"), ("k2", "v2", "v2")}
+    with pytest.raises(Exception, match="unknown write strategy"):
+        tiers.write_states(writes.withColumn("strategy", F.lit("other")), 0, 100).collect()
 
 
 def test_invalidation_kills_what_was_loaded_by_then(spark):

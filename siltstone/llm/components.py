@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes of ``edges`` (a, b); component is the least node reachable.
+def connected_components(spark: SparkSession, edges: DataFrame, keep: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of all nodes of ``edges`` (a, b), written to ``keep``; component is the least node reachable.
 
     Loops, repeated edges and nulls are dropped.  Rounds grow with the logarithm
     of the largest component; more than ``max_rounds`` is an error.
@@ -33,9 +33,12 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     else:
         raise RuntimeError("components have not settled")
     # Now every edge points at the least node of its component.
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    labels = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    labels = keep.save(labels, name)
+    scratch.close()
+    return labels
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:

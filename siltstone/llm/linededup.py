@@ -77,6 +77,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> D
     kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_covered")
     rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
     covers = scratch.save(later.select("_ld_id", "_ld_text", covered.alias("_ld_covered")), "covered")
+    scratch.drop("windows", "first")
     changed = F.col("_ld_covered").isNotNull()
     return (
         keyed.join(covers.hint("merge"), ["_ld_id", "_ld_text"], "left")

@@ -173,11 +173,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     near = tested.join(one, "a").join(two, "b").where(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
     edges = confirmed(scratch.save(near, "near"), "edges")
-    component = scratch.save(connected_components(spark, edges), "component")
+    component = connected_components(spark, edges, scratch, "component")
     apart = _apart(scratch, met, component, sigs.select("id", "size"), texts, width, percent)
     if apart is not None:
         edges = edges.unionByName(confirmed(scratch.save(apart, "apart"), "more"))
-        component = scratch.save(connected_components(spark, edges), "whole")
+        component = connected_components(spark, edges, scratch, "whole")
+    scratch.drop("buckets", "met", "involved", "texts", "sigs", "meets", "ranked", "hubs", "near", "edges", "named", "mixed", "inside", "packed", "apart", "more")
     labels = component.select(F.col("node").alias("rep"), "component")
     joined = members.drop("sig").join(labels, "rep", "left")
     found = F.coalesce("component", "rep")

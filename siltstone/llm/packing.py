@@ -18,6 +18,7 @@ piece then looks its place up by rank, in parallel.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, slots: int = 1 << 21, limit: int = MAX_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -289,6 +291,7 @@ def pack(spark: SparkSession, pieces: DataFrame, order: list[str], capacity: int
     pieces = scratch.save(pieces, "pieces")
     ranked, _ = with_rank(spark, pieces, [F.col("length").desc(), *(F.col(c) for c in order)], scratch, "ranked")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    scratch.drop("pieces")
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError("lengths must be 1 to the capacity")
     shared = spark.sparkContext.broadcast(plan(counts, capacity))

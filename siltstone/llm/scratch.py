@@ -38,8 +38,9 @@ def _delete(spark: SparkSession, uri: str) -> None:
 class Scratch:
     """One folder of Parquet tables that belongs to one run of an operator.
 
-    ``drop`` removes a table that no later plan reads.  What is left goes when
-    the driver process ends, since a lazy result may still read it until then.
+    ``drop`` removes tables that no later plan reads, ``close`` all of them.  What
+    is left goes when the driver process ends, since a lazy result may still read
+    it until then.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -61,3 +62,6 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.uri}/{name}")
+
+    def close(self) -> None:
+        _delete(self.spark, self.uri)

@@ -174,7 +174,7 @@ def test_chains_of_copies_lose_no_link(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 60)] + [(3, 3), (200, 201), (201, 200)]
-    got = dict(tuple(r) for r in components.connected_components(spark, spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    got = dict(tuple(r) for r in components.connected_components(spark, spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t"), "c").collect())
     assert got == {**{i: 100 for i in range(100, 161)}, **{k: 7 for k in range(7, 60)}, 200: 200, 201: 200}
 
 

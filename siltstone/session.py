@@ -27,8 +27,18 @@ def get_session(app: str = "siltstone", cores: str = "*", shuffle_partitions: in
     )
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BATCH_BYTES = 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers wherever they run; once an application."""
+    """Make the package importable in Python workers wherever they run; once an application.
+
+    Batches that go to workers are held to 8 MB, unless the session asks for less.
+    """
+    size_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < size_of(spark.conf.get(ARROW_BATCH, "64m")) <= ARROW_BATCH_BYTES:
+        spark.conf.set(ARROW_BATCH, str(ARROW_BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

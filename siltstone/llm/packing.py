@@ -34,8 +34,8 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 SEPARATOR = 0
-BLOCK = 1 << 21
-MAX_WORDS = 1_500_000
+BLOCK = 1 << 20
+MAX_WORDS = 1_000_000
 
 # Words for which the tokenizer's own model can be asked directly: letters whose
 # lower case and composed form are plain, then ASCII marks other than ' and <.
@@ -59,7 +59,7 @@ class WordIds:
     store is emptied, which costs time but changes no result.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21, limit: int = MAX_WORDS):
+    def __init__(self, path: str, slots: int = 1 << 20, limit: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 

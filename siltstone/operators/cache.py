@@ -172,9 +172,12 @@ def bytes_used(entries: DataFrame) -> DataFrame:
     return entries.groupBy("shard").agg(F.sum(size).alias("bytes"), F.count("*").alias("items"))
 
 
-def recency(access: DataFrame) -> DataFrame:
-    """Keys of each shard from most to least recent: (shard, key, position)."""
-    last = access.groupBy("shard", "key").agg(F.max("seq").alias("last"))
+def recency(access: DataFrame, shard: Column) -> DataFrame:
+    """Keys of each shard from most to least recent: (shard, key, position).
+
+    ``access`` has key and seq; ``shard`` is computed once a key, after merging.
+    """
+    last = access.groupBy("key").agg(F.max("seq").alias("last")).withColumn("shard", shard)
     order = Window.partitionBy("shard").orderBy(F.col("last").desc())
     return last.select("shard", "key", F.row_number().over(order).cast("bigint").alias("position"))
 

@@ -436,7 +436,7 @@ def q31_byte_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ACCESSES}, u AS (SELECT shard, key, max(seq) AS last FROM t GROUP BY shard, key)
 SELECT shard, key, row_number() OVER (PARTITION BY shard ORDER BY last DESC) AS "position" FROM u""")
 def q32_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache.recency(_accesses(spark, sf_dir))
+    return cache.recency(_accesses(spark, sf_dir).select("key", "seq"), hashing.shard_of(F.col("key")))
 
 
 @query("SELECT 'user-' || user_id AS key, count(*) AS reads, 1::BIGINT AS loads FROM events GROUP BY 1")

@@ -5,9 +5,13 @@ expression passes, which see the same matches: the pieces between matches and
 the matches themselves tile the text, so running lengths give code points.
 
 Random strings: two first-order character models, one of random strings and one
-of ordinary identifiers, are counted from labelled samples.  A candidate run of
-key characters is reported where the mean log-likelihood ratio of its character
-pairs is above a threshold and no base span touches it.
+of ordinary identifiers, are counted from labelled samples.  Base spans are cut
+out of each run of key characters.  In what is left, marks (anything but letters
+and digits) are bounds of sub-runs, and a running sum over the log-likelihood
+ratios of character pairs, less the threshold, finds the stretches of sub-runs
+that score best, so a key joined to words stands alone.  A stretch of 20 or more
+characters is reported where the mean of its pairs is above the threshold, and
+so is a whole piece without such a stretch.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ ASSIGN_LEAST = 12
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LEAST = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.35
+DROP = 6.0  # a stretch ends where the running sum has lost this much since its best
 
 # Stems of ordinary identifiers for the labelled sample.
 STEMS = (
@@ -55,10 +61,17 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     stems = F.array(*[F.lit(s) for s in STEMS if s.isascii()])
     pick = lambda k: F.get(stems, F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len([s for s in STEMS if s.isascii()]))).cast("int"))
     cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100))
+    snake = F.concat_ws("_", pick(1), pick(2), pick(3), pick(4))
+    form = F.col("id") % 16
     ordinary = ids.select(
-        F.when(F.col("id") % 4 == 0, F.concat(pick(1), cap(pick(2)), cap(pick(3)), cap(pick(4))))
-        .when(F.col("id") % 4 == 1, F.concat_ws("_", pick(1), pick(2), pick(3), pick(4)))
-        .when(F.col("id") % 4 == 2, F.concat_ws("/", pick(1), F.concat_ws("-", pick(2), pick(3)), (F.col("id") % 97).cast("string")))
+        F.when(form.isin(0, 4), F.concat(pick(1), cap(pick(2)), cap(pick(3)), cap(pick(4))))
+        .when(form.isin(1, 5), snake)
+        .when(form.isin(2, 6, 10), F.concat_ws("/", pick(1), F.concat_ws("-", pick(2), pick(3)), (F.col("id") % 97).cast("string")))
+        .when(form.isin(8, 9), F.upper(snake))
+        .when(form == 12, F.concat(F.lit("/"), F.concat_ws("/", pick(1), pick(2), pick(3), pick(4), pick(5))))
+        .when(form == 13, F.concat(F.concat_ws("_", pick(1), pick(2)), F.lit("="), F.concat_ws("-", pick(3), pick(4))))
+        .when(form == 14, F.concat(F.upper(F.concat_ws("_", pick(1), pick(2))), F.lit("="), F.concat_ws("/", pick(3), pick(4))))
+        .when(form == 15, F.repeat(F.get(F.array(F.lit("-"), F.lit("="), F.lit("_")), F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")), F.lit(24)))
         .otherwise(F.concat(cap(pick(1)), pick(2), pick(3), pick(4), pick(5)))
         .alias("sample"),
         F.lit(False).alias("is_random"),
@@ -109,6 +122,69 @@ def _spans(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.aggregate(tiles, start, step, lambda acc: acc["found"])).otherwise(empty)
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """array<struct<first, match>> of what base spans, sorted, leave of a run, 20 characters or more each."""
+    empty = F.expr("cast(array() as array<struct<first:int,end:int>>)")
+    piece = lambda first, end: F.array(F.struct(first.alias("first"), end.alias("end")))
+    start = F.struct(run["first"].alias("at"), empty.alias("found"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.concat(acc["found"], piece(acc["at"], b["first"])).alias("found"),
+        )
+
+    touching = F.filter(base, lambda b: (b["first"] < run["end"]) & (run["first"] < b["end"]))
+    pieces = F.aggregate(touching, start, step, lambda acc: F.concat(acc["found"], piece(acc["at"], run["end"])))
+    return F.transform(
+        F.filter(pieces, lambda p: p["end"] - p["first"] >= LEAST),
+        lambda p: F.struct(p["first"].alias("first"), run["match"].substr(p["first"] - run["first"] + 1, p["end"] - p["first"]).alias("match")),
+    )
+
+
+def _random_parts(piece: Column, table: Column, threshold: float) -> Column:
+    """array<struct<first, end>> of the random-looking stretches of a piece, in order."""
+    length = F.length(piece["match"])
+    empty = F.expr("cast(array() as array<struct<first:int,end:int>>)")
+    codes = F.transform(F.split(piece["match"], ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    span = lambda first, end: F.struct(first.cast("int").alias("first"), end.cast("int").alias("end"))
+
+    def scan(code: Column) -> Column:
+        fields = ("start", "total", "best", "end", "whole", "found")
+        state = lambda *values: F.struct(*[v.alias(f) for v, f in zip(values, fields)])
+        zero = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0), empty)
+
+        def step(acc: Column, i: Column) -> Column:
+            # One character a step; ``total`` has the pairs from start to before i.
+            pair = F.coalesce(F.get(table, F.get(code, i - 1) * len(ALPHABET) + F.get(code, i)) - threshold, F.lit(0.0))
+            whole = acc["whole"] + F.when((i > 0) & (i < length), pair).otherwise(0.0)
+            total = acc["total"] + F.when((i > acc["start"]) & (i < length), pair).otherwise(0.0)
+            up = acc["total"] > acc["best"]
+            best, end = F.greatest(acc["total"], acc["best"]), F.when(up, i).otherwise(acc["end"])
+            bound = (i == length) | (F.get(code, i) >= 62)
+            over = (i == length) | (acc["total"] <= 0) | (best - acc["total"] > DROP)
+            found = F.when(end - acc["start"] >= LEAST, F.concat(acc["found"], F.array(span(acc["start"], end)))).otherwise(acc["found"])
+            return (
+                F.when(~bound, state(acc["start"], total, acc["best"], acc["end"], whole, acc["found"]))
+                .when(over, state(i + 1, F.lit(0.0), F.lit(0.0), i + 1, whole, found))
+                .otherwise(state(acc["start"], total, best, end, whole, acc["found"]))
+            )
+
+        # Padding at the end of the piece belongs to the last stretch.
+        padded = lambda x: F.when(x["end"] >= F.length(F.rtrim(piece["match"], F.lit("="))), length).otherwise(x["end"])
+        return F.aggregate(
+            F.sequence(F.lit(0), length),
+            zero,
+            step,
+            lambda acc: F.when(F.size(acc["found"]) > 0, F.transform(acc["found"], lambda x: span(x["first"], padded(x))))
+            .when(acc["whole"] > 0, F.array(span(F.lit(0), length)))
+            .otherwise(empty),
+        )
+
+    parts = F.flatten(F.transform(F.array(codes), scan))  # codes are computed once
+    return F.transform(parts, lambda x: span(piece["first"] + x["first"], piece["first"] + x["end"]))
+
+
 def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of docs with ``spans``: array<struct<first, kind, end>>, in order.
 
@@ -129,20 +205,11 @@ def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESH
         _spans(F.col("_s_text"), HEX, F.col("_s_text").rlike(HEX)).alias("_s_2"),
         _spans(F.col("_s_text"), CANDIDATE, F.col("_s_text").rlike(CANDIDATE)).alias("_s_3"),
     )
-    size = len(ALPHABET)
     table = F.expr("cast(split('" + ",".join(map(str, ratios)) + "', ',') as array<double>)")
     kinds = lambda k: F.transform(F.col(f"_s_{k}"), lambda x: F.struct(x["first"].alias("first"), F.lit(k).alias("kind"), x["end"].alias("end")))
     base = found.withColumn("_s_base", F.array_sort(F.concat(kinds(0), kinds(1), kinds(2))))
-    code = lambda c, i: F.call_function("instr", F.lit(ALPHABET), c.substr(i, F.lit(1))) - 1
-    mean = lambda c: F.aggregate(
-        F.sequence(F.lit(1), F.length(c) - 1),
-        F.lit(0.0),
-        lambda s, i: s + F.get(table, code(c, i) * size + code(c, i + 1)),
-    ) / (F.length(c) - 1)
-    fresh = F.filter(
-        F.col("_s_3"),
-        lambda x: ~F.exists("_s_base", lambda b: (b["first"] < x["end"]) & (x["first"] < b["end"])) & (mean(x["match"]) > threshold),
-    )
+    pieces = F.flatten(F.transform("_s_3", lambda x: _outside(x, F.col("_s_base"))))
+    fresh = F.flatten(F.transform(pieces, lambda x: _random_parts(x, table, threshold)))
     added = F.transform(fresh, lambda x: F.struct(x["first"].alias("first"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return base.select(*keep, F.when(F.size("_s_3") > 0, F.array_sort(F.concat("_s_base", added))).otherwise(F.col("_s_base")).alias("spans"))
 

@@ -52,10 +52,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
+    """Pieces of documents with their sequence, place and the checksum of the ids packed there."""
+    return packing.placements(pack_documents(spark, docs))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The training sequences of clean documents: sequence_id, ids and pieces."""
     ship_package(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(spark, pieces, ["doc_id", "piece", "ids_crc32"])
+    return packing.packed_sequences(spark, pieces, ["doc_id", "piece", "ids_crc32"])
 
 
 STAGES = [
@@ -70,11 +75,21 @@ STAGES = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages but the last leave of the documents of ``sf_dir``."""
     ship_package(spark)
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequences of ``sf_dir``, for a caller to write."""
+    return pack_documents(spark, clean_documents(spark, sf_dir))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    return STAGES[-1][1](spark, clean_documents(spark, sf_dir), sf_dir)

@@ -1,8 +1,7 @@
 """Packing documents into sequences of a fixed capacity by bulk-synchronous best fit.
 
 1. Texts are tokenised where they are read; a document's ids end with a
-   separator, and only documents longer than the capacity are cut.  What goes on
-   are piece lengths and checksums, not ids.
+   separator, and only documents longer than the capacity are cut.
 2. Pieces are range-sorted by length, longest first, and numbered.
 3. Supersteps match pieces to gaps.  Both sides are sorted by size; one sweep
    pairs every gap with the largest free piece it can hold, at most one piece a
@@ -13,7 +12,8 @@
 Since sizes are integers up to the capacity, equal sizes form runs of ranks: a
 superstep works on runs (at most ``capacity`` sizes, counted in Spark), so its
 state is bounded by the capacity and doesn't grow with the documents.  Each
-piece then looks its place up by rank, in parallel.
+piece then looks its place up by rank, in parallel.  Ids stay out of the ranking:
+``packed_sequences`` writes them once, compressed, and joins them to the places.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,12 +153,13 @@ def _store(path: str) -> WordIds:
     return _STORES[path]
 
 
-PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """Columns ``keep`` of docs, a row for each piece; a null text is empty and has the separator alone.
 
+    ``ids`` are the piece's token ids as little-endian 32-bit integers.
     ``tokenizer`` is the path of a byte-level word vocabulary file that every
     worker can read.
     """
@@ -169,7 +171,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | Non
         words = _store(tokenizer)
         for batch in batches:
             data, offsets = utf8(batch.column("_p_text"))
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, crc, held = [], [], [], [], [], []
             for i, j in blocks(offsets, BLOCK):
                 part = data[offsets[i] : offsets[j]]
                 ids, at = _ids(words, part, offsets[i : j + 1] - offsets[i], separator)
@@ -181,11 +183,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | Non
                         piece.append(n)
                         start.append(s - a)
                         length.append(e - s)
-                        crc.append(zlib.crc32(ids[s:e]))
+                        held.append(ids[s:e].astype("<u4").tobytes())
+                        crc.append(zlib.crc32(held[-1]))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in range(len(names))), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                [*names, "piece", "start", "length", "ids_crc32"],
+                [*(batch.column(c).take(take) for c in range(len(names))), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(held, pa.binary())],
+                [*names, "piece", "start", "length", "ids_crc32", "ids"],
             )
 
     return kept.mapInArrow(run, f"{schema}, {PIECES}")
@@ -308,3 +311,77 @@ def pack(spark: SparkSession, pieces: DataFrame, order: list[str], capacity: int
             )
 
     return ranked.select(*columns, "rank").mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids as compressed byte planes, and numbers of the task and of its rows."""
+    task, seen = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        small = [pa.compress(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) for x in batch.column("ids")]
+        columns = [batch.column(c) if c != "ids" else pa.array(small, pa.binary()) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.full(n, task, np.int64)), pa.array(np.arange(seen, seen + n, dtype=np.int64))], [*batch.schema.names, "_task", "_row"]
+        )
+        seen += n
+
+
+def packed_sequences(spark: SparkSession, pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+    """The sequences of ``pack``: sequence_id, ids (little-endian 32-bit integers) and pieces.
+
+    ``pieces`` of the result is an array of the columns of the argument other
+    than ids and ids_crc32, with offset, in the order of offsets.
+    """
+    scratch = Scratch(spark, "sequences")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    tokens = scratch.save(pieces.mapInArrow(_squeeze, f"{schema}, _task bigint, _row bigint"), "tokens")
+    light = tokens.select(*dict.fromkeys(["_task", "_row", "length", *order]))
+    placed = pack(spark, light, [*order, "_task", "_row"], capacity).select("_task", "_row", "sequence_id", "offset")
+    names = [c for c in pieces.columns if c not in ("ids", "ids_crc32")] + ["offset"]
+    found = tokens.join(placed, ["_task", "_row"]).select("sequence_id", *names, "ids")
+    dealt = found.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    members = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.select(*names).schema)
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        sequence = table["sequence_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1]]))
+        sizes = table["length"].to_numpy()
+        ids = [
+            np.frombuffer(pa.decompress(x.as_py(), 4 * int(n), "zstd", asbytes=True), np.uint8).reshape(4, -1).T.tobytes()
+            for x, n in zip(table["ids"], sizes)
+        ]
+        cuts = [*first.tolist(), len(sequence)]
+        held = pa.StructArray.from_arrays([table[c].combine_chunks() for c in names], names)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(sequence[first]),
+                pa.array([b"".join(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), held),
+            ],
+            ["sequence_id", "ids", "pieces"],
+        )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # rows of the sequence that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            sequence = table["sequence_id"].to_numpy()
+            cut = int(np.searchsorted(sequence, sequence[-1]))
+            if cut:
+                yield whole(table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks()
+        if rest is not None:
+            yield whole(rest)
+
+    return dealt.mapInArrow(join, f"sequence_id bigint, ids binary, pieces array<struct<{members}>>")
+
+
+def placements(sequences: DataFrame) -> DataFrame:
+    """A row for each piece of ``packed_sequences`` with its place and the checksum of its ids there."""
+    names = [f.name for f in sequences.schema["pieces"].dataType.elementType if f.name != "offset"]
+    part = lambda x: F.substring("ids", (x["offset"] * 4 + 1).cast("int"), (x["length"] * 4).cast("int"))
+    rows = F.transform("pieces", lambda x: F.struct(*[x[c].alias(c) for c in names], F.crc32(part(x)).alias("ids_crc32"), F.col("sequence_id"), x["offset"].alias("offset")))
+    return sequences.select(F.inline(rows))

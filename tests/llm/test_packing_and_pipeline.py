@@ -49,6 +49,26 @@ def test_packing(spark, which, request):
     assert used <= max(least + 1, int(1.02 * least))
 
 
+@pytest.mark.parametrize("which", ["odd", "documents", "none"])
+def test_packed_sequences_hold_the_ids(spark, which, request):
+    docs = request.getfixturevalue(which)
+    made = packing.packed_sequences(spark, packing.token_pieces(docs, PATH), ["doc_id", "piece", "ids_crc32"])
+    made = Scratch(spark, "t").save(made, "sequences")
+    rows, texts = made.collect(), {}
+    tokenizer = Tokenizer.from_file(PATH)
+    for i, t in lists(docs):
+        texts.setdefault(i, []).append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert [p.offset for p in r.pieces] == np.cumsum([0, *(p.length for p in r.pieces)])[:-1].tolist()
+        assert len(ids) == sum(p.length for p in r.pieces) <= 2048
+        assert all(any(t[p.start : p.start + p.length] == ids[p.offset : p.offset + p.length] for t in texts[p.doc_id]) for p in r.pieces)
+    got = packing.placements(made)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=key) == brute_pieces(lists(docs))
+
+
 def test_special_and_odd_words():
     texts = ["<|endoftext|> a", "<|ENDOFTEXT|>", "don't we'll İstanbul ΣΑΣ", "é ﬁ ½ a b  x", "naïve,, (x) ...", "ÀÉ÷×ß", ""]
     import pyarrow as pa

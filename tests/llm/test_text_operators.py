@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -446,3 +447,47 @@ def test_random_strings_joined_to_words(spark, ratios):
 def test_secret_scan_runs_no_python(spark):
     plan = queries.QUERIES["op10_secret_scan"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_texts_of_secrets_take_seconds(spark, ratios):
+    """A megabyte each: one run, many hex spans, keys joined by words in one run, assignments."""
+    rng = random.Random(2)
+    letters = secrets.ALPHABET[:64]
+    key_ = lambda n: "".join(rng.choices(letters[:62], k=n))
+    texts = [
+        "".join(rng.choices(letters, k=1_000_000)),
+        " ".join(rng.randbytes(10).hex() for _ in range(50_000)),
+        "/".join(f"{key_(32)}/services/account" for _ in range(20_000)),
+        " ".join(f"token=abcdefghijkl{n}" for n in range(50_000)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs, ratios).collect()}
+    assert time.monotonic() - began < 60  # an hour or more if anything were quadratic
+    for i in (1, 3):
+        assert [(s.first, s.kind, s.end) for s in got[i] if s.kind < 3] == brute_spans(texts[i])
+    assert len(got[1]) == len(got[3]) == 50_000 and len(got[2]) > 19_000 and got[0]
+
+
+def test_secrets_against_names_and_keys_of_other_origin(spark, ratios):
+    """Recall on keys from the system's random source, false alarms on names that libraries really have."""
+    import base64
+    import inspect
+    import os
+
+    import pandas
+    import pyarrow
+    import pyspark.sql.functions
+
+    names = set()
+    for module in (np, np.linalg, pandas, pyarrow, pyspark.sql.functions, inspect, re, os, hashlib):
+        for name in dir(module):
+            names.add(f"{module.__name__}.{name}".replace(".", "_"))
+            names.update(f"{name}/{inner}" for inner in dir(getattr(module, name)) if not inner.startswith("__"))
+    names = sorted(n for n in names if len(n) >= 20 and re.fullmatch(secrets.CANDIDATE, n))[:4000]
+    keys = [base64.b64encode(os.urandom(24)).decode() for _ in range(300)] + [base64.urlsafe_b64encode(os.urandom(30)).decode() for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([*keys, *names])], "doc_id bigint, text string")
+    hit = [r.doc_id for r in secrets.find_secrets(docs, ratios).collect() if any(s.kind == 3 for s in r.spans)]
+    recall, false = sum(i < 600 for i in hit) / 600, sum(i >= 600 for i in hit) / len(names)
+    print(f"recall {recall:.3f}, false alarms {false:.4f} of {len(names)} names, {[names[i - 600] for i in hit if i >= 600][:20]}")
+    assert recall > 0.97 and false < 0.02

@@ -1,21 +1,24 @@
-"""Interpolated modified Kneser-Ney scores of texts (order two).
+"""Interpolated modified Kneser-Ney scores of texts, of order two or three.
 
-Counting.  Tasks sum up the words, then the word pairs, of their own rows and
-send compressed, sorted arrays to shards of the hash space; a shard holds an
-even share of the distinct pairs however frequent any of them is.  A word's id is
-the position of its hash in the sorted word array.
+Counting.  Tasks sum up the words, then the n-grams of the highest order, of
+their own rows and send compressed arrays to shards.  A word's id is the position
+of its hash in the sorted word array.  A shard of trigrams has whole contexts (at
+most as many entries as there are words for one context); it sends on how many
+distinct words come before each pair, which is the count of the order below.
+Numbers of shards follow the bytes and tokens that were counted.  Counts are
+exact: entries have codes into a table of the distinct counts of their shard.
 
-Storing.  Shards are files of sorted hash arrays with counts in the shared
-folder: words (hash, count), pairs (bijective hash of two ids, count), and by
-word id the numbers of its successors that occur once, twice and more often and
-the number of its distinct predecessors.
+Storing.  Shards are files in the shared folder: sorted word hashes and counts;
+for each order a table of sorted hashes, cut to a bucket and 32 bits, with counts
+(and with sums by context for trigrams); by word id the sums of its successors
+and the number of its distinct predecessors.
 
 Scoring.  Workers memory-map the files and look sorted batches of hashes up in
 them.  Every text is scored whole; a token is a word (A-Z lower-cased) or the
-end, and the first token follows a begin mark that is never scored.
+end, and the first token follows a begin mark that is never scored.  An unseen
+n-gram is taken for a seen one with probability below 2^-28.
 
-Only the four counts of counts of either order, and one row a shard, come to
-the driver.
+Only counts of counts, and one row a shard, come to the driver.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ from .scratch import Scratch
 from .sharedfiles import map_array, write_array
 
 BLOCK = 1 << 21
-HELD = 1 << 21  # distinct entries a task holds before it sends them on
-RANGE_BITS = 18  # word ids of one file of word statistics
+HELD = 1 << 20  # distinct entries a task holds before it sends them on
+RANGE_BITS = 16  # word ids of one file of word statistics
+ORDER = 3
+SHARD_BYTES, MOST_WORD_BITS = 1 << 27, 14  # 2^14 shards hold 2^32 words, which is the most
+SHARD_TOKENS = 1 << 21
+OPEN_FILES = 1 << 12
 _U = np.uint64
 _CODEC = pa.Codec("zstd", 1)
 
@@ -69,37 +76,49 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 class _Tally:
-    """Counts of keys, merged whenever they get many."""
+    """Counts of keys, merged whenever they get many; columns besides the key are kept from its first entry."""
 
     def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = self.merged = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.held += len(k)
+    def add(self, keys: np.ndarray, *besides: np.ndarray) -> None:
+        if besides:
+            k, first, c = np.unique(keys, return_index=True, return_counts=True)
+            self.parts.append((k, c, *(x[first] for x in besides)))
+        else:
+            self.parts.append(np.unique(keys, return_counts=True))
+
+    def full(self) -> bool:
+        """Whether there are more entries than a task may hold, merged as they are."""
+        self.held = sum(len(p[0]) for p in self.parts)
         if self.held > 2 * self.merged + (HELD >> 2):
             self.collapse()
+        if self.held > HELD:
+            self.collapse()
+        return self.held > HELD
 
     def collapse(self) -> None:
-        k, c = merge(self.keys, self.counts)
-        self.keys, self.counts, self.held, self.merged = [k], [c], len(k), len(k)
-
-    def drain(self) -> tuple[np.ndarray, np.ndarray]:
-        k, c = merge(self.keys, self.counts)
-        self.keys, self.counts, self.held, self.merged = [], [], 0, 0
-        return k, c
+        if len(self.parts) > 1:
+            k, c, *rest = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            self.parts = [(k[first], np.add.reduceat(c[order], first), *(x[order[first]] for x in rest))]
+        self.held = self.merged = sum(len(p[0]) for p in self.parts)
+
+    def drain(self) -> tuple[np.ndarray, ...]:
+        self.collapse()
+        out, self.parts, self.held, self.merged = self.parts[0], [], 0, 0
+        return out
 
 
-_BLOBS = "shard int, keys binary, counts binary"
+_BLOBS = "shard int, keys binary, words binary, counts binary"
 
 
-def _to_shards(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard; keys stay sorted within it."""
-    order = np.argsort(shard, kind="stable")
+def _to_shards(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, words: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each shard, ascending by key; ``words`` is a second part of the key."""
+    order = np.lexsort((keys, shard))
     names, first = np.unique(shard[order], return_index=True)
     cuts = np.append(first, len(order))
     parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -107,28 +126,102 @@ def _to_shards(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.Re
         [
             pa.array(names.astype(np.int32)),
             pa.array([pack_ints(keys[p], True) for p in parts], pa.binary()),
+            pa.array([pack_ints(words[p]) if words is not None else b"" for p in parts], pa.binary()),
             pa.array([pack_ints(counts[p]) for p in parts], pa.binary()),
         ],
-        ["shard", "keys", "counts"],
+        ["shard", "keys", "words", "counts"],
     )
 
 
+def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of a hash."""
+    return (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _bits(items: int, each: int) -> int:
+    """Bits that name shards of ``each`` items."""
+    return max(0, -(-items // each) - 1).bit_length()
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first.astype(np.uint64) << _U(32)) | second.astype(np.uint64)
+
+
+def _gram_hash(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(pair) * _U(3) + word.astype(np.uint64))
+
+
+def pack_table(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The bytes of a table from sorted, distinct hashes to rows of ``values``.
+
+    A header of five numbers; where each bucket of hashes begins; 32 bits of each
+    hash after those that name its bucket; codes; the distinct rows they stand for.
+    """
+    n = len(hashes)
+    bits = max(0, n.bit_length() - 3)
+    if values.shape[1] == 1:
+        rows, codes = np.unique(values[:, 0], return_inverse=True)
+        rows = rows[:, None]
+    else:  # rows that agree under two hashes are equal
+        with np.errstate(over="ignore"):
+            mixed = mix(values.astype(np.uint64) @ np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)[: values.shape[1]])
+        _, first, codes = np.unique(mixed, return_index=True, return_inverse=True)
+        rows = values[first]
+    width = 1 if len(rows) <= 1 << 8 else 2 if len(rows) <= 1 << 16 else 4
+    index = np.searchsorted(_shard(hashes, bits), np.arange((1 << bits) + 1)).astype(np.uint32)
+    low = (hashes >> _U(32 - bits)).astype(np.uint32)
+    parts = [
+        np.array([n, bits, width, *rows.shape], np.uint64), rows.astype(np.uint64).reshape(-1), index, low, codes.astype({1: np.uint8, 2: np.uint16, 4: np.uint32}[width]),
+    ]
+    return np.concatenate([np.ascontiguousarray(p).view(np.uint8) for p in parts])
+
+
+class Table:
+    """A map of the bytes of ``pack_table``."""
+
+    def __init__(self, raw: np.ndarray):
+        n, self.bits, width, many, columns = raw[:40].view(np.uint64).astype(int).tolist()
+        cuts = np.cumsum([40, 8 * many * columns, 4 * ((1 << self.bits) + 1), 4 * n, width * n])
+        part = lambda k, kind: raw[cuts[k] : cuts[k + 1]].view(kind)
+        self.rows = part(0, np.uint64).astype(np.int64).reshape(many, columns)
+        self.index, self.low = part(1, np.uint32), part(2, np.uint32)
+        self.codes = part(3, {1: np.uint8, 2: np.uint16, 4: np.uint32}[width])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of ascending hashes; zeros where there is none."""
+        bucket = _shard(hashes, self.bits)
+        at, end = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        want = (hashes >> _U(32 - self.bits)).astype(np.uint32)
+        out = np.zeros((len(hashes), self.rows.shape[1]), np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            here, wanted = self.low[at[live]], want[live]
+            hit = live[here == wanted]
+            out[hit] = self.rows[self.codes[at[hit]]]
+            live = live[here < wanted]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
 @dataclass
 class Model:
     """Where the files are, and the numbers that scoring needs besides."""
 
     uri: str
-    bits: int  # of the hash that name a shard
+    order: int
+    word_bits: int  # of the hash that name a shard of words
     word_starts: np.ndarray  # id of each word shard's first word
     docs: int
     words: int  # distinct
     tokens: int  # words and ends in training
+    word_shards: np.ndarray  # whether a shard has a file
+    gram_bits: int = 0  # of the hash that name a shard of n-grams
     pairs: int = 0  # distinct
-    discount: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    lower_discount: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    discounts: dict = field(default_factory=dict)  # order: discounts of counts 1, 2, 3 and more
     lower_rest: float = 1.0  # weight of the uniform distribution
-    word_shards: set = field(default_factory=set)
-    pair_shards: set = field(default_factory=set)
+    gram_shards: dict = field(default_factory=dict)  # kind: whether a shard has a file
     maps: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -143,35 +236,22 @@ class Model:
     def types(self) -> int:
         return self.words + (1 if self.docs else 0)
 
-    def array(self, name: str, dtype: type) -> np.ndarray:
+    def array(self, name: str, dtype: type, table: bool = False) -> np.ndarray | Table:
         if name not in self.maps:
-            self.maps[name] = map_array(f"{self.uri}/{name}", dtype)
+            if len(self.maps) > OPEN_FILES:
+                self.maps = {k: v for k, v in self.maps.items() if k == "front"}
+            held = map_array(f"{self.uri}/{name}", dtype)
+            self.maps[name] = Table(held) if table else held
         return self.maps[name]
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "maps": {}}
 
-    def _by_shard(self, sorted_hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        shard = (sorted_hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sorted_hashes), np.int64)
-        first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-        for a, b in zip(first, [*first[1:], len(shard)]):
-            yield int(shard[a]), a, b
-
-    def _find(self, kind: str, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted hashes: found, position in the shard, shard."""
-        found, at, where = np.zeros(len(sorted_hashes), bool), np.zeros(len(sorted_hashes), np.int64), np.zeros(len(sorted_hashes), np.int64)
-        for shard, a, b in self._by_shard(sorted_hashes):
-            keys = self.array(f"{kind}-{shard}", np.uint64) if shard in self.present(kind) else np.zeros(0, np.uint64)
-            if len(keys):
-                spot = np.searchsorted(keys, sorted_hashes[a:b])
-                spot = np.minimum(spot, len(keys) - 1)
-                found[a:b] = keys[spot] == sorted_hashes[a:b]
-                at[a:b], where[a:b] = spot, shard
-        return found, at, where
-
-    def present(self, kind: str) -> set[int]:
-        """Shards that have a file."""
-        return self.word_shards if kind == "words" else self.pair_shards
+    @staticmethod
+    def _runs(sorted_shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        first = np.flatnonzero(np.append(True, sorted_shards[1:] != sorted_shards[:-1])) if len(sorted_shards) else []
+        for a, b in zip(first, [*first[1:], len(sorted_shards)]):
+            yield int(sorted_shards[a]), a, b
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, -1 where unknown, and the words' training counts."""
@@ -184,38 +264,50 @@ class Model:
         miss = np.flatnonzero((table[0][slot] != hashes) | (out == -2))
         if len(miss):
             unique, back = np.unique(hashes[miss], return_inverse=True)
-            found, at, shard = self._find("words", unique)
-            ids = np.where(found, self.word_starts[shard] + at, -1)
-            counts = np.zeros(len(unique), np.int64)
-            for s, a, b in self._by_shard(unique):
-                if s in self.word_shards:
-                    counts[a:b] = np.where(found[a:b], self.array(f"word-counts-{s}", np.uint32)[at[a:b]], 0)
+            ids, counts = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
+            for s, a, b in self._runs(_shard(unique, self.word_bits)):
+                if self.word_shards[s]:
+                    keys = self.array(f"words-{s}", np.uint64)
+                    spot = np.minimum(np.searchsorted(keys, unique[a:b]), len(keys) - 1)
+                    hit = np.flatnonzero(keys[spot] == unique[a:b])
+                    ids[a + hit] = self.word_starts[s] + spot[hit]
+                    counts[a + hit] = self.array(f"word-counts-{s}", np.uint64)[spot[hit]]
             out[miss], count[miss] = ids[back], counts[back]
             table[0][slot[miss]], table[1][slot[miss]], table[2][slot[miss]] = hashes[miss], out[miss], count[miss]
         return out, count
 
     def statistics(self, ids: np.ndarray) -> np.ndarray:
-        """(ids x 4): successors once, twice, more often; predecessors.  Ids are sorted and known."""
-        out = np.zeros((len(ids), 4), np.int64)
-        part = ids >> RANGE_BITS
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else []
-        for a, b in zip(first, [*first[1:], len(ids)]):
-            held = self.array(f"statistics-{part[a]}", np.uint32).reshape(-1, 4)
-            out[a:b] = held[ids[a:b] - (part[a] << RANGE_BITS)]
+        """(ids x 5): successors counted once, twice, more often; their sum; predecessors.  Ids are sorted and known."""
+        out = np.zeros((len(ids), 5), np.int64)
+        for part, a, b in self._runs(ids >> RANGE_BITS):
+            out[a:b] = self.array(f"statistics-{part}", np.uint64).reshape(-1, 5)[ids[a:b] - (part << RANGE_BITS)]
         return out
 
-    def pair_counts(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = mix((before.astype(np.uint64) << _U(32)) | word.astype(np.uint64))
+    def find(self, kind: str, shard: np.ndarray, hashes: np.ndarray, columns: int) -> np.ndarray:
+        """Rows of the tables ``kind`` for hashes in shards."""
+        key = (shard.astype(np.uint64) << _U(64 - self.gram_bits)) | (hashes >> _U(self.gram_bits)) if self.gram_bits else hashes
         order = np.argsort(key)
-        found, at, shard = self._find("pairs", key[order])
-        counts = np.zeros(len(key), np.int64)
-        for s, a, b in self._by_shard(key[order]):
-            if s in self.pair_shards:
-                counts[a:b] = np.where(found[a:b], self.array(f"pair-counts-{s}", np.uint32)[at[a:b]], 0)
-        out = np.zeros(len(key), np.int64)
-        out[order] = counts
+        shard, hashes = shard[order], hashes[order]
+        found = np.zeros((len(order), columns), np.int64)
+        for s, a, b in self._runs(shard):
+            if self.gram_shards[kind][s]:
+                found[a:b] = self.array(f"{kind}-{s}", np.uint8, True).find(hashes[a:b])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def pair_counts(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        hashed = mix(_pair(before, word))
+        return self.find("pairs", _shard(hashed, self.gram_bits), hashed << _U(self.gram_bits), 1)[:, 0]
+
+    def contexts(self, pair: np.ndarray) -> np.ndarray:
+        """(pairs x 4): successors counted once, twice, more often; their sum."""
+        hashed = mix(pair)
+        return self.find("contexts", _shard(hashed, self.gram_bits), hashed << _U(self.gram_bits), 4)
+
+    def gram_counts(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.find("grams", _shard(mix(pair), self.gram_bits), _gram_hash(pair, word), 1)[:, 0]
+
 
 def _tokens(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token ids of all rows, the ids before them, training counts, first indexes of rows."""
@@ -242,12 +334,29 @@ def _discounts(t: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(out))
 
 
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> Model:
-    """A model of all rows of docs (text); a null text is empty.  No rows give a uniform model."""
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all rows of a shard."""
+    return np.concatenate([unpack_ints(x.as_py(), True) for x in group.column("keys")]), np.concatenate([unpack_ints(x.as_py()).astype(np.int64) for x in group.column("counts")])
+
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    """The numbers of counts 1 to 4, of those over 2, and of all."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum()), len(counts)]
+
+
+def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None, order: int = ORDER) -> Model:
+    """A model of all rows of docs (text); a null text is empty.  No rows give a uniform model.
+
+    ``order`` is two or three.  Repeated rows count each time; other columns of
+    docs are not read.
+    """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     scratch = scratch or Scratch(spark, "lm")
     uri = f"{scratch.uri}/model"
-    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     texts = docs.select("text")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = min(MOST_WORD_BITS, _bits(size, SHARD_BYTES))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, rows = _Tally(), 0
@@ -256,26 +365,26 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
             rows += batch.num_rows
             for i, j in blocks(offsets, BLOCK):
                 tally.add(hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])
-                if tally.held > HELD:
-                    tally.collapse()
-                if tally.held > HELD:
+                if tally.full():
                     yield _words_out(tally)
-        if tally.held:
+        if tally.parts:
             yield _words_out(tally)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows.to_bytes(8, "little")]), pa.array([b""])], ["shard", "keys", "counts"])
+        none = pa.array([b""])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows.to_bytes(8, "little")]), none, none], ["shard", "keys", "words", "counts"])
 
     def _words_out(tally: _Tally) -> pa.RecordBatch:
         keys, counts = tally.drain()
-        return _to_shards(keys, counts, (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64))
+        return _to_shards(keys, counts, _shard(keys, bits))
 
     def store_words(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
         if shard < 0:
             n = sum(int.from_bytes(x.as_py(), "little") for x in group.column("keys"))
             return pa.table({"shard": pa.array([-1], pa.int32()), "distinct": pa.array([n], pa.int64()), "total": pa.array([0], pa.int64())})
-        keys, counts = merge([unpack_ints(x.as_py(), True) for x in group.column("keys")], [unpack_ints(x.as_py()).astype(np.int64) for x in group.column("counts")])
+        keys, counts = _unpacked(group)
+        keys, counts = merge([keys], [counts])
         write_array(f"{uri}/words-{shard}", keys)
-        write_array(f"{uri}/word-counts-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+        write_array(f"{uri}/word-counts-{shard}", counts.astype(np.uint64))
         return pa.table({"shard": pa.array([shard], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     found = {
@@ -285,117 +394,185 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     rows = found.pop(-1)["distinct"] if -1 in found else 0
     sizes = np.array([found[s]["distinct"] if s in found else 0 for s in range(1 << bits)], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    model = Model(uri, bits, starts[:-1], rows, int(starts[-1]), sum(r["total"] for r in found.values()) + rows, word_shards=set(found))
+    model = Model(uri, order, bits, starts[:-1], rows, int(starts[-1]), sum(r["total"] for r in found.values()) + rows, sizes > 0)
     if model.words >= (1 << 32) - 2:
         raise ValueError("more than 2^32 distinct words")
     if not rows:
         return model
+    model.gram_bits = gram_bits = _bits(model.tokens, SHARD_TOKENS)
     shared = spark.sparkContext.broadcast(model)
+    begin = model.begin
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in blocks(offsets, BLOCK):
-                ids, before, _, _ = _tokens(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                tally.add((before.astype(np.uint64) << _U(32)) | ids.astype(np.uint64))
-                if tally.held > HELD:
-                    tally.collapse()
-                if tally.held > HELD:
-                    yield _pairs_out(tally)
-        if tally.held:
-            yield _pairs_out(tally)
-
-    def _pairs_out(tally: _Tally) -> pa.RecordBatch:
-        keys, counts = tally.drain()
-        return _to_shards(keys, counts, (mix(keys) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64))
+                ids, before, _, start = _tokens(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if order == 2:
+                    tally.add(_pair(before, ids))
+                else:
+                    pair = _pair(_before_last(before, start, begin), before)
+                    tally.add(_gram_hash(pair, ids), pair, ids.astype(np.uint32))
+                if tally.full():
+                    yield _grams_out(tally)
+        if tally.parts:
+            yield _grams_out(tally)
+
+    def _grams_out(tally: _Tally) -> pa.RecordBatch:
+        keys, counts, *gram = tally.drain()
+        if gram:
+            return _to_shards(gram[0], counts, _shard(mix(gram[0]), gram_bits), gram[1])
+        return _pairs_out(keys, counts)
+
+    def _pairs_out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return _to_shards(keys, counts, _shard(mix(keys), gram_bits))
+
+    def tallied(shard: int, counts: np.ndarray) -> pa.RecordBatch:
+        """What the next step passes on as it is."""
+        blob = pack_ints(np.array([shard, *_of_counts(counts)]))
+        none = pa.array([b""])
+        return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none, pa.array([blob]), none], ["shard", "keys", "words", "counts"])
+
+    def store_grams(group: pa.Table) -> pa.Table:
+        """Files of a shard of trigrams; out go its counts of counts and the pairs that its trigrams end with."""
+        shard = group.column("shard")[0].as_py()
+        pair, counts = _unpacked(group)
+        word = np.concatenate([unpack_ints(x.as_py()) for x in group.column("words")])
+        hashed = _gram_hash(pair, word)
+        at = np.argsort(hashed)
+        hashed = hashed[at]
+        first = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1]))
+        hashed, counts, pair, word = hashed[first], np.add.reduceat(counts[at], first), pair[at[first]], word[at[first]]
+        starting = pair == _U((begin << 32) | begin)  # not trigrams: the counts of pairs that start a text
+        real = np.flatnonzero(~starting)
+        if len(real):
+            write_array(f"{uri}/grams-{shard}", pack_table(hashed[real], counts[real, None]))
+            context, at = mix(pair[real]), None
+            at = np.argsort(context)
+            context, sums = context[at], counts[real[at]]
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            each = [np.add.reduceat(x.astype(np.int64), first) for x in (sums == 1, sums == 2, sums > 2, sums)]
+            write_array(f"{uri}/contexts-{shard}", pack_table(context[first] << _U(gram_bits), np.stack(each, axis=1)))
+        last = _pair(pair & _U(0xFFFFFFFF), word)
+        keys, sums = merge([last], [np.where(starting, counts, 1)])
+        return pa.Table.from_batches([_pairs_out(keys, sums), tallied(shard, counts[real])])
 
     def store_pairs(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        keys, counts = merge([unpack_ints(x.as_py(), True) for x in group.column("keys")], [unpack_ints(x.as_py()).astype(np.int64) for x in group.column("counts")])
+        none = {"part": pa.int32(), "kind": pa.string(), "shard": pa.int32(), "ids": pa.binary(), "sums": pa.binary(), "tally": pa.list_(pa.int64())}
+        if shard < 0:
+            tallies = [unpack_ints(x.as_py()).astype(np.int64).tolist() for x in group.column("words")]
+            columns = ([-1] * len(tallies), ["grams"] * len(tallies), [t[0] for t in tallies], [None] * len(tallies), [None] * len(tallies), [t[1:] for t in tallies])
+            return pa.table({name: pa.array(x, none[name]) for name, x in zip(none, columns)})
+        keys, counts = _unpacked(group)
+        keys, counts = merge([keys], [counts])
         hashed = mix(keys)
-        order = np.argsort(hashed)
-        write_array(f"{uri}/pairs-{shard}", hashed[order])
-        write_array(f"{uri}/pair-counts-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)[order])
-        once, twice = counts == 1, counts == 2
-        ones = np.ones(len(keys), np.int64)
-        stats = np.stack([once, twice, ~(once | twice), 0 * ones], axis=1).astype(np.int64)
-        ids, sums = merge([keys >> _U(32), keys & _U(0xFFFFFFFF)], [stats, np.stack([0 * ones, 0 * ones, 0 * ones, ones], axis=1)])
+        at = np.argsort(hashed)
+        write_array(f"{uri}/pairs-{shard}", pack_table(hashed[at] << _U(gram_bits), counts[at, None]))
+        ones, zeros = np.ones(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        after = np.stack([counts == 1, counts == 2, counts > 2, counts, zeros], axis=1).astype(np.int64)
+        ids, sums = merge([keys >> _U(32), keys & _U(0xFFFFFFFF)], [after, np.stack([zeros, zeros, zeros, zeros, ones], axis=1)])
         part = (ids >> _U(RANGE_BITS)).astype(np.int64)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
-        cuts = np.append(first, len(part))
-        tally = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table(
-            {
-                "part": pa.array([-1, *part[first].tolist()], pa.int32()),
-                "shard": pa.array([shard] * (len(first) + 1), pa.int32()),
-                "ids": pa.array([b"", *(pack_ints(ids[a:b], True) for a, b in zip(cuts[:-1], cuts[1:]))], pa.binary()),
-                "sums": pa.array([b"", *(pack_ints(sums[a:b].T.reshape(-1)) for a, b in zip(cuts[:-1], cuts[1:]))], pa.binary()),
-                "tally": pa.array([[len(keys), *tally], *([None] * len(first))], pa.list_(pa.int64())),
-            }
+        cuts = list(zip(first, np.append(first, len(part))[1:]))
+        columns = (
+            [-1, *part[first].tolist()],
+            ["pairs"] * (len(first) + 1),
+            [shard] * (len(first) + 1),
+            [None, *(pack_ints(ids[a:b], True) for a, b in cuts)],
+            [None, *(pack_ints(sums[a:b].T.reshape(-1)) for a, b in cuts)],
+            [_of_counts(counts), *([None] * len(first))],
         )
+        return pa.table({name: pa.array(x, none[name]) for name, x in zip(none, columns)})
 
+    grams = texts.mapInArrow(count_grams, _BLOBS)
+    if order == 3:
+        grams = grams.groupBy("shard").applyInArrow(store_grams, _BLOBS)
     partial = scratch.save(
-        texts.mapInArrow(count_pairs, _BLOBS).groupBy("shard").applyInArrow(store_pairs, "part int, shard int, ids binary, sums binary, tally array<bigint>"),
-        "partial",
+        grams.groupBy("shard").applyInArrow(store_pairs, "part int, kind string, shard int, ids binary, sums binary, tally array<bigint>"), "partial"
     )
-    tallies = partial.where("part < 0").select("shard", "tally").collect()
-    model.pair_shards = {r["shard"] for r in tallies}
-    model.pairs = sum(r["tally"][0] for r in tallies)
-    model.discount = _discounts([sum(r["tally"][k] for r in tallies) for k in (1, 2, 3, 4)])
+    tallies = partial.where("part < 0").select("kind", "shard", "tally").toArrow().to_pylist()
+
+    def summed(kind: str) -> list[int]:
+        return [sum(r["tally"][k] for r in tallies if r["kind"] == kind) for k in range(6)]
+
+    for kind in ("pairs", "grams", "contexts"):
+        has = np.zeros(1 << gram_bits, bool)
+        has[[r["shard"] for r in tallies if r["kind"] == ("pairs" if kind == "pairs" else "grams") and r["tally"][5]]] = True
+        model.gram_shards[kind] = has
+    model.pairs = summed("pairs")[5]
+    model.discounts = {2: _discounts(summed("pairs")), 3: _discounts(summed("grams"))}
     top = model.words + 2
 
     def store_statistics(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        dense = np.zeros((min(1 << RANGE_BITS, top - (part << RANGE_BITS)), 4), np.int64)
+        dense = np.zeros((min(1 << RANGE_BITS, top - (part << RANGE_BITS)), 5), np.int64)
         for ids, sums in zip(group.column("ids"), group.column("sums")):
             at = unpack_ints(ids.as_py(), True).astype(np.int64) - (part << RANGE_BITS)
-            dense[at] += unpack_ints(sums.as_py()).astype(np.int64).reshape(4, -1).T
-        write_array(f"{uri}/statistics-{part}", np.minimum(dense, 0xFFFFFFFF).astype(np.uint32))
-        before = dense[:, 3]
-        return pa.table({"tally": pa.array([[int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 2).sum())]], pa.list_(pa.int64()))})
+            dense[at] += unpack_ints(sums.as_py()).astype(np.int64).reshape(5, -1).T
+        write_array(f"{uri}/statistics-{part}", dense.astype(np.uint64))
+        return pa.table({f"t{k}": pa.array([n], pa.int64()) for k, n in enumerate(_of_counts(dense[:, 4]))})
 
-    lower = partial.where("part >= 0").groupBy("part").applyInArrow(store_statistics, "tally array<bigint>").collect()
+    lower = partial.where("part >= 0").groupBy("part").applyInArrow(store_statistics, ", ".join(f"t{k} bigint" for k in range(6)))
+    t = list(lower.agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(6)]).first())
     scratch.drop("partial")
-    t = [sum(r["tally"][k] for r in lower) for k in range(5)]
-    model.lower_discount = _discounts(t[:4])
-    d = model.lower_discount
+    model.discounts[1] = d = _discounts(t)
     model.lower_rest = (d[0] * t[0] + d[1] * t[1] + d[2] * t[4]) / model.pairs
     return model
 
 
+def _before_last(before: np.ndarray, start: np.ndarray, begin: int) -> np.ndarray:
+    """The ids two before each token; the begin mark where there is none."""
+    out = np.empty_like(before)
+    out[1:] = before[:-1]
+    out[start[:-1]] = begin
+    return out
+
+
 def _less(counts: np.ndarray, discount: tuple[float, float, float]) -> np.ndarray:
     """Counts less their discounts; 0 stays 0."""
     return counts - np.array([0.0, *discount])[np.minimum(counts, 3)]
 
 
+def _interpolated(counts: np.ndarray, sums: np.ndarray, discount: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Probabilities from counts, the contexts' sums (once, twice, more often, total) and those of the order below."""
+    return (_less(counts, discount) + (sums[:, :3] @ np.array(discount)) * lower) / sums[:, 3]
+
+
 def score_block(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By row: tokens, known tokens, base score, model score."""
     ids, before, counts, start = _tokens(m, data, offsets)
     base = np.log10(counts + 1.0) - np.log10(m.tokens + m.types + 1.0)
-    lower = np.full(len(ids), m.lower_rest / (m.types + 1.0))
-    p = lower.copy()
+    p = np.full(len(ids), m.lower_rest / (m.types + 1.0))
     if m.docs:
-        unique, back = np.unique(ids, return_inverse=True)
+        unique, back = np.unique(np.concatenate([ids, before[start[:-1]]]), return_inverse=True)
         known = unique >= 0
-        stats = np.zeros((len(unique), 4), np.int64)
+        stats = np.zeros((len(unique), 5), np.int64)
         stats[known] = m.statistics(unique[known])
-        lower += (_less(stats[:, 3], m.lower_discount) / m.pairs)[back]
-        followed = np.flatnonzero(before >= 0)
-        p = lower.copy()
-        seen = before[followed]
-        total = np.full(len(seen), m.docs, np.float64)
-        inner = seen != m.begin
-        total[inner] = counts[followed[inner] - 1]
-        own, at = np.unique(seen, return_inverse=True)
-        after = m.statistics(own)
-        rest = (after[:, :3] @ np.array(m.discount))[at] / total
-        both = np.flatnonzero(ids[followed] >= 0)
-        times = np.zeros(len(seen), np.int64)
-        times[both] = m.pair_counts(seen[both], ids[followed[both]])
-        p[followed] = _less(times, m.discount) / total + rest * lower[followed]
-    sums = lambda x: np.add.reduceat(x, start[:-1])  # noqa: E731  every row has its end
-    return np.diff(start), sums((counts > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+        p += (_less(stats[:, 4], m.discounts[1]) / m.pairs)[back[: len(ids)]]
+        # A token's predecessor is the token before it, or the begin mark.
+        prior = np.empty(len(ids), np.int64)
+        prior[1:] = back[: len(ids) - 1]
+        prior[start[:-1]] = back[len(ids) :]
+        seen = np.flatnonzero(before >= 0)
+        both = seen[ids[seen] >= 0]
+        times = np.zeros(len(ids), np.int64)
+        times[both] = m.pair_counts(before[both], ids[both])
+        p[seen] = _interpolated(times[seen], stats[prior[seen]], m.discounts[2], p[seen])
+        if m.order == 3:
+            first = _before_last(before, start, -1)
+            at = np.flatnonzero((first >= 0) & (before >= 0))
+            pair = _pair(first[at], before[at])
+            sums = m.contexts(pair)
+            met = np.flatnonzero(sums[:, 3])
+            at, pair, sums = at[met], pair[met], sums[met]
+            times = np.zeros(len(at), np.int64)
+            both = np.flatnonzero(ids[at] >= 0)
+            times[both] = m.gram_counts(pair[both], ids[at[both]])
+            p[at] = _interpolated(times, sums, m.discounts[3], p[at])
+    add = lambda x: np.add.reduceat(x, start[:-1])  # noqa: E731  every row has its end
+    return np.diff(start), add((counts > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column | str] | None = None) -> DataFrame:

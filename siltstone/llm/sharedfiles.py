@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import fcntl
+import hashlib
 import os
 import tempfile
 import uuid
@@ -33,18 +37,36 @@ def write_array(uri: str, array: np.ndarray) -> None:
     store.move(draft, path)
 
 
+def _copied(uri: str) -> str:
+    """The path of this host's only copy of a file that isn't local, made by the first worker that needs it."""
+    folder = os.path.join(tempfile.gettempdir(), "siltstone-maps")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, hashlib.sha256(uri.encode()).hexdigest())
+    with open(f"{path}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(path):
+            store, remote = fs.FileSystem.from_uri(uri)
+            draft = f"{path}.{uuid.uuid4().hex}"
+            with open(draft, "wb") as out, store.open_input_stream(remote) as source:
+                while chunk := source.read(1 << 22):
+                    out.write(chunk)
+            os.replace(draft, path)
+            atexit.register(_unlink, path)  # who has it mapped keeps it
+    return path
+
+
+def _unlink(path: str) -> None:
+    with contextlib.suppress(OSError):
+        os.unlink(path)
+
+
 def map_array(uri: str, dtype: type) -> np.ndarray:
-    """A read-only map of a file; a file that isn't local is first copied and the copy unlinked once mapped."""
-    path, copied = _local(uri), False
-    if path is None:
-        store, remote = fs.FileSystem.from_uri(uri)
-        handle, path = tempfile.mkstemp(prefix="siltstone-map-")
-        copied = True
-        with os.fdopen(handle, "wb") as out, store.open_input_stream(remote) as source:
-            while chunk := source.read(1 << 22):
-                out.write(chunk)
-    try:
+    """A read-only map of a file; workers of a host share one copy of a file that isn't local."""
+    path = _local(uri)
+    if path is not None:
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    finally:
-        if copied:
-            os.unlink(path)
+    for _ in range(3):  # the worker that made the copy may end, and unlink it, in between
+        with contextlib.suppress(FileNotFoundError):
+            path = _copied(uri)
+            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    raise FileNotFoundError(uri)

@@ -277,58 +277,108 @@ def test_long_texts_score_as_in_one_piece(spark, odd):
 # --- op6
 
 
-def brute_scores(rows, learn):
+def brute_scores(rows, learn, order):
     import collections
     import math
 
     tokens = [words(t) + ["</s> "] for _, t in rows]
-    c, b = collections.Counter(), collections.Counter()
-    n_train = 0
+    raw = [collections.Counter() for _ in range(4)]  # by length; texts have one begin mark in front
     for t, use in zip(tokens, learn):
         if use:
-            n_train += 1
-            c.update(t)
-            b.update(zip(["<s> ", *t], t))
+            marked = ["<s> ", *t]
+            for n in (1, 2, 3):
+                raw[n].update(tuple(marked[i : i + n]) for i in range(len(marked) - n + 1))
+    c = collections.Counter({g[0]: k for g, k in raw[1].items() if g != ("<s> ",)})
     total, types = sum(c.values()), len(c)
-    before, after = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (x, y), k in b.items():
-        before[y] += 1
-        after[x][min(k, 3) - 1] += 1
+    used = {order: raw[order]}  # shorter n-grams count their distinct predecessors, but for those that begin a text
+    for n in range(order - 1, 0, -1):
+        ends = collections.Counter(g[1:] for g in raw[n + 1])
+        used[n] = collections.Counter({g: k if g[0] == "<s> " else ends[g] for g, k in raw[n].items() if g != ("<s> ",)})
     counts = lambda values: [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-    d, e = lm._discounts(counts(b.values())), lm._discounts(counts(before.values()))
-    seen = collections.Counter(c)
-    seen["<s> "] = n_train
-    rest = sum(e[min(k, 3) - 1] for k in before.values()) / len(b) if b else 1.0
-
-    def lower(w):
-        k = before[w]
-        return (k - e[min(k, 3) - 1] if k else 0) / max(len(b), 1) + rest / (types + 1)
-
-    def p(x, w):
-        if not seen[x]:
-            return lower(w)
-        k = b[x, w]
-        return (k - d[min(k, 3) - 1] if k else 0) / seen[x] + sum(u * v for u, v in zip(d, after[x])) / seen[x] * lower(w)
-
-    return [
-        (len(t), sum(c[w] > 0 for w in t), sum(math.log10((c[w] + 1) / (total + types + 1)) for w in t), sum(math.log10(p(x, w)) for x, w in zip(["<s> ", *t], t)))
-        for t in tokens
-    ]
-
-
-@pytest.mark.parametrize(("which", "share"), [("odd", 2), ("documents", 3), ("odd", None)])
-def test_scores(spark, which, share, request):
+    discount = {n: lm._discounts(counts(u.values())) for n, u in used.items()}
+    sums = {n: collections.defaultdict(lambda: [0, 0, 0, 0]) for n in used}
+    for n, u in used.items():
+        for g, k in u.items():
+            sums[n][g[:-1]][min(k, 3) - 1] += 1
+            sums[n][g[:-1]][3] += k
+
+    def p(history, w):
+        n = len(history) + 1
+        lower = p(history[1:], w) if n > 1 else 1 / (types + 1)
+        s = sums[n].get(tuple(history))
+        if s is None:
+            return lower
+        k = used[n][(*history, w)]
+        return ((k - discount[n][min(k, 3) - 1] if k else 0) + sum(x * y for x, y in zip(discount[n], s)) * lower) / s[3]
+
+    def text(t):
+        marked = ["<s> ", *t]
+        return sum(math.log10(p(tuple(marked[max(0, i - order + 1) : i]), marked[i])) for i in range(1, len(marked)))
+
+    return [(len(t), sum(c[w] > 0 for w in t), sum(math.log10((c[w] + 1) / (total + types + 1)) for w in t), text(t)) for t in tokens]
+
+
+@pytest.mark.parametrize(("which", "share", "order", "many"), [("odd", 2, 3, True), ("documents", 3, 3, True), ("documents", 3, 2, True), ("odd", 2, 2, False), ("odd", None, 3, False)])
+def test_scores(spark, which, share, order, many, request, monkeypatch):
+    if many:  # shards as of far more rows
+        monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 6)
+        monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 10)
     docs = request.getfixturevalue(which).withColumn("n_tokens2", F.lit(0)).withColumn("at", F.monotonically_increasing_id())
     docs = Scratch(spark, "t").save(docs, "docs")
     learn = F.lit(False) if share is None else F.coalesce(F.col("doc_id"), F.lit(0)) % share != 1
     rows = docs.withColumn("learn", learn).collect()
-    model = lm.train(spark, docs.where(learn))
+    model = lm.train(spark, docs.where(learn), order=order)
+    assert min(model.gram_bits, model.word_bits) > 0 or not many
     got = {r.at: tuple(r)[1:] for r in lm.score(spark, docs, model, ["at"]).collect()}
-    for r, expected in zip(rows, brute_scores([(r.doc_id, r.text) for r in rows], [r.learn for r in rows])):
+    for r, expected in zip(rows, brute_scores([(r.doc_id, r.text) for r in rows], [r.learn for r in rows], order)):
         assert got[r.at][:2] == expected[:2]
         assert got[r.at][2:] == pytest.approx(expected[2:], rel=1e-9)
 
 
+def test_counts_are_exact_beyond_32_bits():
+    rng = np.random.default_rng(0)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for columns in (1, 4):
+        values = rng.integers(0, 300, (len(hashes), columns))
+        values[7] = (1 << 40) + 3
+        values[9, 0] = 1 << 50
+        table = lm.Table(lm.pack_table(hashes, values))
+        assert (table.find(hashes) == values).all()
+        assert not table.find(np.sort(hashes ^ np.uint64(1 << 30))).any()
+    keys, counts = lm.merge([np.array([1, 2], np.uint64), np.array([2], np.uint64)], [np.array([1, 1 << 33]), np.array([1 << 34])])
+    assert counts.tolist() == [1, (1 << 33) + (1 << 34)]
+    assert lm.unpack_ints(lm.pack_ints(counts)).tolist() == counts.tolist()
+
+
+def test_tallies_over_many_blocks(monkeypatch):
+    import collections
+
+    monkeypatch.setattr(lm, "HELD", 64)
+    rng, tally, expected, got = np.random.default_rng(1), lm._Tally(), collections.Counter(), collections.Counter()
+    for _ in range(200):
+        keys = rng.zipf(1.5, 50).astype(np.uint64)
+        expected.update(keys.tolist())
+        tally.add(keys, keys * np.uint64(7))
+        if tally.full():
+            k, c, besides = tally.drain()
+            assert (besides == k * np.uint64(7)).all()
+            got.update(dict(zip(k.tolist(), c.tolist())))
+    got.update(dict(zip(*(x.tolist() for x in tally.drain()[:2]))))
+    assert got == expected
+
+
+def test_copies_of_files_are_one_a_host(tmp_path, monkeypatch):
+    from siltstone.llm import sharedfiles
+
+    monkeypatch.setattr(sharedfiles, "_local", lambda uri: None)
+    monkeypatch.setattr(sharedfiles.tempfile, "gettempdir", lambda: str(tmp_path))
+    (tmp_path / "far").write_bytes(np.arange(9, dtype=np.uint64).tobytes())
+    uri = f"file://{tmp_path}/far"
+    maps = [sharedfiles.map_array(uri, np.uint64) for _ in range(3)]
+    assert all(m.tolist() == list(range(9)) for m in maps)
+    assert len([p for p in (tmp_path / "siltstone-maps").iterdir() if p.suffix != ".lock"]) == 1
+
+
 def test_scores_of_no_rows(spark, none):
     assert lm.score(spark, none, lm.train(spark, none)).count() == 0
 

@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney scores of texts, of order two or three.
 
 Counting.  Tasks sum up the words, then the n-grams of the highest order, of
-their own rows and send compressed arrays to shards.  A word's id is the position
-of its hash in the sorted word array.  A shard of trigrams has whole contexts (at
+their own rows and send compressed arrays to shards.  Words have ids in the order of
+their shards, the most frequent of a shard first.  A shard of trigrams has whole contexts (at
 most as many entries as there are words for one context); it sends on how many
 distinct words come before each pair, which is the count of the order below.
 Numbers of shards follow the bytes and tokens that were counted.  Counts are
@@ -32,16 +32,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import blocks, hash_words, mix, utf8
-from .scratch import Scratch
+from .scratch import Scratch, refuse_clash
 from .sharedfiles import map_array, write_array
 
 BLOCK = 1 << 21
-HELD = 1 << 20  # distinct entries a task holds before it sends them on
+HELD, HELD_WORDS = 1 << 20, 1 << 21  # distinct entries a task holds before it sends them on
 RANGE_BITS = 16  # word ids of one file of word statistics
 ORDER = 3
 SHARD_BYTES, MOST_WORD_BITS = 1 << 27, 14  # 2^14 shards hold 2^32 words, which is the most
 SHARD_TOKENS = 1 << 21
 OPEN_FILES = 1 << 12
+FAN_BITS = 8  # of a shard's number: so many shards' sums are added up at once
+RARE = 255  # the code of all rows of a table that have none of their own
 _U = np.uint64
 _CODEC = pa.Codec("zstd", 1)
 
@@ -78,7 +80,8 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 class _Tally:
     """Counts of keys, merged whenever they get many; columns besides the key are kept from its first entry."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
+        self.most = most or HELD
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = self.merged = 0
 
@@ -92,11 +95,11 @@ class _Tally:
     def full(self) -> bool:
         """Whether there are more entries than a task may hold, merged as they are."""
         self.held = sum(len(p[0]) for p in self.parts)
-        if self.held > 2 * self.merged + (HELD >> 2):
+        if self.held > 2 * self.merged + (self.most >> 2):
             self.collapse()
-        if self.held > HELD:
+        if self.held > self.most:
             self.collapse()
-        return self.held > HELD
+        return self.held > self.most
 
     def collapse(self) -> None:
         if len(self.parts) > 1:
@@ -155,24 +158,29 @@ def _gram_hash(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
 def pack_table(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The bytes of a table from sorted, distinct hashes to rows of ``values``.
 
-    A header of five numbers; where each bucket of hashes begins; 32 bits of each
-    hash after those that name its bucket; codes; the distinct rows they stand for.
+    A header of five numbers; the distinct rows, the most frequent first; where
+    each bucket of hashes begins; 32 bits of each hash after those that name its
+    bucket; positions and row numbers of entries with rare rows; a byte for each
+    entry, its row's number or RARE.
     """
     n = len(hashes)
-    bits = max(0, n.bit_length() - 3)
+    bits = max(0, n.bit_length() - 4)
     if values.shape[1] == 1:
-        rows, codes = np.unique(values[:, 0], return_inverse=True)
-        rows = rows[:, None]
-    else:  # rows that agree under two hashes are equal
+        mixed = values[:, 0]
+    else:  # rows that agree under a hash are equal
         with np.errstate(over="ignore"):
             mixed = mix(values.astype(np.uint64) @ np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)[: values.shape[1]])
-        _, first, codes = np.unique(mixed, return_index=True, return_inverse=True)
-        rows = values[first]
-    width = 1 if len(rows) <= 1 << 8 else 2 if len(rows) <= 1 << 16 else 4
+    _, first, back, times = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    codes, rows = number[back], values[first[order]]
+    rare = np.flatnonzero(codes >= RARE)
     index = np.searchsorted(_shard(hashes, bits), np.arange((1 << bits) + 1)).astype(np.uint32)
     low = (hashes >> _U(32 - bits)).astype(np.uint32)
     parts = [
-        np.array([n, bits, width, *rows.shape], np.uint64), rows.astype(np.uint64).reshape(-1), index, low, codes.astype({1: np.uint8, 2: np.uint16, 4: np.uint32}[width]),
+        np.array([n, bits, len(rare), *rows.shape], np.uint64), rows.astype(np.uint64).reshape(-1), index, low,
+        rare.astype(np.uint32), codes[rare].astype(np.uint32), np.minimum(codes, RARE).astype(np.uint8),
     ]
     return np.concatenate([np.ascontiguousarray(p).view(np.uint8) for p in parts])
 
@@ -181,12 +189,11 @@ class Table:
     """A map of the bytes of ``pack_table``."""
 
     def __init__(self, raw: np.ndarray):
-        n, self.bits, width, many, columns = raw[:40].view(np.uint64).astype(int).tolist()
-        cuts = np.cumsum([40, 8 * many * columns, 4 * ((1 << self.bits) + 1), 4 * n, width * n])
+        n, self.bits, rare, many, columns = raw[:40].view(np.uint64).astype(int).tolist()
+        cuts = np.cumsum([40, 8 * many * columns, 4 * ((1 << self.bits) + 1), 4 * n, 4 * rare, 4 * rare, n])
         part = lambda k, kind: raw[cuts[k] : cuts[k + 1]].view(kind)
         self.rows = part(0, np.uint64).astype(np.int64).reshape(many, columns)
-        self.index, self.low = part(1, np.uint32), part(2, np.uint32)
-        self.codes = part(3, {1: np.uint8, 2: np.uint16, 4: np.uint32}[width])
+        self.index, self.low, self.rare, self.rare_rows, self.codes = (part(k, np.uint32 if k < 5 else np.uint8) for k in range(1, 6))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of ascending hashes; zeros where there is none."""
@@ -198,7 +205,11 @@ class Table:
         while len(live):
             here, wanted = self.low[at[live]], want[live]
             hit = live[here == wanted]
-            out[hit] = self.rows[self.codes[at[hit]]]
+            if len(hit):
+                code = self.codes[at[hit]].astype(np.int64)
+                rare = np.flatnonzero(code == RARE)
+                code[rare] = self.rare_rows[np.searchsorted(self.rare, at[hit[rare]])]
+                out[hit] = self.rows[code]
             live = live[here < wanted]
             at[live] += 1
             live = live[at[live] < end[live]]
@@ -270,7 +281,7 @@ class Model:
                     keys = self.array(f"words-{s}", np.uint64)
                     spot = np.minimum(np.searchsorted(keys, unique[a:b]), len(keys) - 1)
                     hit = np.flatnonzero(keys[spot] == unique[a:b])
-                    ids[a + hit] = self.word_starts[s] + spot[hit]
+                    ids[a + hit] = self.word_starts[s] + self.array(f"word-ranks-{s}", np.uint32)[spot[hit]]
                     counts[a + hit] = self.array(f"word-counts-{s}", np.uint64)[spot[hit]]
             out[miss], count[miss] = ids[back], counts[back]
             table[0][slot[miss]], table[1][slot[miss]], table[2][slot[miss]] = hashes[miss], out[miss], count[miss]
@@ -359,7 +370,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
     bits = min(MOST_WORD_BITS, _bits(size, SHARD_BYTES))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, rows = _Tally(), 0
+        tally, rows = _Tally(HELD_WORDS), 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             rows += batch.num_rows
@@ -383,7 +394,10 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
             return pa.table({"shard": pa.array([-1], pa.int32()), "distinct": pa.array([n], pa.int64()), "total": pa.array([0], pa.int64())})
         keys, counts = _unpacked(group)
         keys, counts = merge([keys], [counts])
+        ranks = np.empty(len(keys), np.uint32)
+        ranks[np.argsort(-counts, kind="stable")] = np.arange(len(keys), dtype=np.uint32)
         write_array(f"{uri}/words-{shard}", keys)
+        write_array(f"{uri}/word-ranks-{shard}", ranks)
         write_array(f"{uri}/word-counts-{shard}", counts.astype(np.uint64))
         return pa.table({"shard": pa.array([shard], pa.int32()), "distinct": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
@@ -489,9 +503,8 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
     grams = texts.mapInArrow(count_grams, _BLOBS)
     if order == 3:
         grams = grams.groupBy("shard").applyInArrow(store_grams, _BLOBS)
-    partial = scratch.save(
-        grams.groupBy("shard").applyInArrow(store_pairs, "part int, kind string, shard int, ids binary, sums binary, tally array<bigint>"), "partial"
-    )
+    sums_schema = "part int, kind string, shard int, ids binary, sums binary, tally array<bigint>"
+    partial = scratch.save(grams.groupBy("shard").applyInArrow(store_pairs, sums_schema), "partial")
     tallies = partial.where("part < 0").select("kind", "shard", "tally").toArrow().to_pylist()
 
     def summed(kind: str) -> list[int]:
@@ -505,18 +518,36 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
     model.discounts = {2: _discounts(summed("pairs")), 3: _discounts(summed("grams"))}
     top = model.words + 2
 
-    def store_statistics(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        dense = np.zeros((min(1 << RANGE_BITS, top - (part << RANGE_BITS)), 5), np.int64)
-        for ids, sums in zip(group.column("ids"), group.column("sums")):
-            at = unpack_ints(ids.as_py(), True).astype(np.int64) - (part << RANGE_BITS)
-            dense[at] += unpack_ints(sums.as_py()).astype(np.int64).reshape(5, -1).T
+    def added(batches: Iterator[pa.RecordBatch]) -> tuple[int, int, np.ndarray]:
+        """A part of the word ids, a shard of those added, and the dense sums."""
+        part, shard, dense = 0, 0, None
+        for batch in batches:
+            for row in batch.select(["part", "shard", "ids", "sums"]).to_pylist():
+                part, shard = row["part"], row["shard"]
+                if dense is None:
+                    dense = np.zeros((min(1 << RANGE_BITS, top - (part << RANGE_BITS)), 5), np.int64)
+                dense[unpack_ints(row["ids"], True).astype(np.int64) - (part << RANGE_BITS)] += unpack_ints(row["sums"]).astype(np.int64).reshape(5, -1).T
+        return part, shard, dense
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard, dense = added(batches)
+        ids = np.flatnonzero(dense.any(axis=1))
+        columns = [part, "pairs", shard >> FAN_BITS, pack_ints(ids + (part << RANGE_BITS), True), pack_ints(dense[ids].T.reshape(-1)), None]
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(columns, kinds)], ["part", "kind", "shard", "ids", "sums", "tally"])
+
+    def store_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, _, dense = added(batches)
         write_array(f"{uri}/statistics-{part}", dense.astype(np.uint64))
-        return pa.table({f"t{k}": pa.array([n], pa.int64()) for k, n in enumerate(_of_counts(dense[:, 4]))})
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in _of_counts(dense[:, 4])], [f"t{k}" for k in range(6)])
 
-    lower = partial.where("part >= 0").groupBy("part").applyInArrow(store_statistics, ", ".join(f"t{k} bigint" for k in range(6)))
+    sums, held, level = partial.where("part >= 0"), gram_bits, 0
+    while held > FAN_BITS:  # frequent words have sums in every shard: add them up by tiers
+        sums = scratch.save(sums.groupBy("part", F.shiftright("shard", FAN_BITS)).applyInArrow(combine, sums_schema), f"sums{level}")
+        held, level = held - FAN_BITS, level + 1
+    lower = sums.groupBy("part").applyInArrow(store_statistics, ", ".join(f"t{k} bigint" for k in range(6)))
     t = list(lower.agg(*[F.sum(f"t{k}").alias(f"t{k}") for k in range(6)]).first())
-    scratch.drop("partial")
+    scratch.drop("partial", *(f"sums{k}" for k in range(level)))
     model.discounts[1] = d = _discounts(t)
     model.lower_rest = (d[0] * t[0] + d[1] * t[1] + d[2] * t[4]) / model.pairs
     return model
@@ -576,7 +607,12 @@ def score_block(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column | str] | None = None) -> DataFrame:
-    """Columns ``keep`` of docs with n_tokens, n_known, base_score and score (log10); a null text is empty."""
+    """Columns ``keep`` of docs with n_tokens, n_known, base_score and score (log10); a null text is empty.
+
+    Every row is scored by itself, whatever its doc_id.  ``keep`` may not have
+    the result's names or _n_text; other columns of docs may.
+    """
+    refuse_clash(keep, "n_tokens", "n_known", "base_score", "score", "_n_text")
     kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_n_text"))
     names = kept.columns[:-1]
     shared = spark.sparkContext.broadcast(model)

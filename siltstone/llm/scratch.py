@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,6 +29,13 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def refuse_clash(keep: list[Column | str] | None, *made: str) -> None:
+    """An error where kept columns are named like those that an operator makes."""
+    clash = {c for c in keep or [] if isinstance(c, str)} & set(made)
+    if clash:
+        raise ValueError(f"keep has columns of the result: {sorted(clash)}")
+
+
 def _delete(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)

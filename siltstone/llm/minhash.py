@@ -10,9 +10,13 @@
 4. Candidates pass a check of their signatures, then are confirmed on the full
    sets.  Confirmed links give components.
 5. Buckets that still span several components may hide links between members that
-   are no hubs.  Those outside the bucket's main component are compared with all
-   others on their sets, in tiles of bounded size that emit only links.  So no link
-   is lost to step 3, and rows don't grow with the pairs of a group.
+   are no hubs.  Their members' shingles are put in one order, rarest first by a
+   sketch of frequencies; linked sets share one of the first few in that order (a
+   prefix, whose length follows from the sizes and the similarity).  So members
+   meet again by those shingles only, which text that many share is not among.
+   Where such a posting spans several components, members outside its main one are
+   compared with all others on their sets, in tiles of bounded size that emit only
+   links.  No link is lost to step 3, and rows don't grow with the pairs of a group.
 
 With 32 bands of 4 a pair of similarity 0.8 meets in none with probability 5e-8.
 """
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,7 @@ BROADCAST_IDS = 1_000_000
 
 TILE, TILE_SHINGLES = 1024, 1 << 20
 GATHERED = 1 << 21
+SKETCH_BITS, SKETCH_CHUNK_BITS = 21, 15
 
 _RNG = np.random.default_rng(77003)
 _A = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -178,7 +184,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     if apart is not None:
         edges = edges.unionByName(confirmed(scratch.save(apart, "apart"), "more"))
         component = connected_components(spark, edges, scratch, "whole")
-    scratch.drop("buckets", "met", "involved", "texts", "sigs", "meets", "ranked", "hubs", "near", "edges", "named", "mixed", "inside", "packed", "apart", "more")
+    scratch.drop("buckets", "met", "involved", "texts", "sigs", "meets", "ranked", "hubs", "near", "edges", "named", "mixed", "inside", "packed", "prefixes", "cross", "postings", "spanning", "apart", "more")
     labels = component.select(F.col("node").alias("rep"), "component")
     joined = members.drop("sig").join(labels, "rep", "left")
     found = F.coalesce("component", "rep")
@@ -213,31 +219,124 @@ def _packed_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
-def _linked(tile: pa.Table, percent: int) -> pa.Table:
+def _frequencies(packed: DataFrame) -> np.ndarray:
+    """How often shingles occur by the upper bits of their hash, on a logarithmic scale of 8 bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            values = utf8(batch.column("shingles"))[0].view(np.uint32)
+            for lo in range(0, len(values), GATHERED):
+                sums += np.bincount(values[lo : lo + GATHERED] >> np.uint32(32 - SKETCH_BITS), minlength=len(sums))
+        parts = sums.reshape(-1, 1 << SKETCH_CHUNK_BITS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts], pa.binary())], ["chunk", "sums"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, sums = 0, np.zeros(1 << SKETCH_CHUNK_BITS, np.int64)
+        for batch in batches:
+            chunk = batch.column("chunk")[0].as_py()
+            for blob in batch.column("sums"):
+                sums += np.frombuffer(pa.decompress(blob.as_py(), sums.nbytes, "zstd", asbytes=True), np.int64)
+        scale = np.minimum(255, np.ceil(8 * np.log2(sums + 1.0))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scale.tobytes()], pa.binary())], ["chunk", "scale"])
+
+    rows = packed.select("shingles").mapInArrow(count, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, scale binary").collect()
+    out = np.zeros((1 << SKETCH_BITS - SKETCH_CHUNK_BITS, 1 << SKETCH_CHUNK_BITS), np.uint8)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["scale"], np.uint8)
+    return out.reshape(-1)
+
+
+ONCE = 8  # on the scale of _frequencies: no other shingle of that bucket
+
+
+def prefixes(values: np.ndarray, index: np.ndarray, scale: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, least) of the shingles by which linked sets meet, those that occur once left out.
+
+    Sets are in one order of shingles.  Of two linked sets the smaller, or either
+    of two equal ones, has a shingle among its first n - ceil(2 p n / (100 + p)) + 1
+    (``least``) that the larger has among its first n - ceil(p n / 100) + 1.
+    """
+    row, n = row_of(index), np.diff(index)
+    frequent = scale[values >> np.uint32(32 - SKETCH_BITS)]
+    order = np.lexsort((values, frequent, row))
+    place = np.arange(len(values)) - index[row]
+    small = n + (-(2 * percent * n) // (100 + percent)) + 1
+    large = n + (-(percent * n) // 100) + 1
+    held = values[order]
+    again = np.append(False, (held[1:] == held[:-1]) & (row[1:] == row[:-1])) if len(held) else np.zeros(0, bool)
+    take = (place < large[row]) & (frequent[order] > ONCE) & ~again
+    return row[take], held[take], (place < small[row])[take]
+
+
+def _postings(inside: DataFrame, scale: Broadcast, percent: int) -> DataFrame:
+    """(shingle, id, comp, size, least) of the prefixes of sets (id, comp, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("shingles"))
+            for i, j in blocks(offsets, BLOCK):
+                index = (offsets[i : j + 1] - offsets[i]) // 4
+                row, shingle, least = prefixes(data[offsets[i] : offsets[j]].view(np.uint32), index, scale.value, percent)
+                at = pa.array(row + i)
+                size = pa.array(np.diff(index)[row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle.astype(np.int64)), batch.column("id").take(at), batch.column("comp").take(at), size, pa.array(least)],
+                    ["shingle", "id", "comp", "size", "least"],
+                )
+
+    return inside.select("id", "comp", "shingles").mapInArrow(run, "shingle bigint, id bigint, comp bigint, size bigint, least boolean")
+
+
+def _linked(tile: pa.Table, percent: int) -> np.ndarray:
     """Pairs (a, b) of one tile that lie in different components and share enough shingles."""
-    ids, comps, chunks = (tile.column(c).to_numpy() for c in ("id", "comp", "chunk"))
+    ids, comps, chunks, least = (tile.column(c).to_numpy() for c in ("id", "comp", "chunk", "least"))
     held = [np.frombuffer(x, np.uint32) for x in tile.column("shingles").to_pylist()]
     one, two = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
     left, right = np.flatnonzero(chunks == one), np.flatnonzero(chunks == two)
     found = [np.zeros((0, 2), np.int64)]
-    if len(left) and len(right):
-        size = np.array([len(held[k]) for k in right])
-        every, owner = np.concatenate([held[k] for k in right]), np.repeat(np.arange(len(right)), size)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        for k in left:
-            shared = np.zeros(len(right), np.int64)
-            first, last = np.searchsorted(every, held[k]), np.searchsorted(every, held[k], side="right")
-            ends = np.cumsum(last - first)
-            for lo, hi in blocks(np.concatenate([[0], ends]), GATHERED, 1 << 30):
-                many = (last - first)[lo:hi]
-                before = np.cumsum(many) - many
-                shared += np.bincount(owner[np.repeat(first[lo:hi] - before, many) + np.arange(int(many.sum()))], minlength=len(right))
-            near = (100 * shared >= percent * (len(held[k]) + size - shared)) & (comps[right] != comps[k])
-            other = ids[right[near]]
+    size = np.array([len(x) for x in held])
+    # Only right members that some left member can be linked with by component, size and place in the prefix.
+    for k in left:
+        may = right[(comps[right] != comps[k]) & (100 * np.minimum(size[right], size[k]) >= percent * np.maximum(size[right], size[k]))]
+        may = may[np.where(size[may] < size[k], least[may], np.where(size[may] > size[k], least[k], least[k] | least[may]))]
+        for lo, hi in blocks(np.concatenate([[0], np.cumsum(size[may])]), GATHERED, 1 << 30):
+            part = may[lo:hi]
+            every, owner = np.concatenate([held[x] for x in part]), np.repeat(np.arange(len(part)), size[part])
+            own = np.sort(held[k])
+            spot = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            shared = np.bincount(owner[own[spot] == every], minlength=len(part))
+            other = ids[part[100 * shared >= percent * (size[k] + size[part] - shared)]]
             found.append(np.stack([np.maximum(other, ids[k]), np.minimum(other, ids[k])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _links(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all tiles; tasks read them in turn and hold one at a time."""
+    names = ["shingle", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # rows of the tile that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            key = np.stack([table.column(c).to_numpy() for c in names])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            found = [_linked(table.slice(a, b - a), percent) for a, b in zip(cuts[:-1], cuts[1:])]
+            rest = table.slice(cuts[-1]).combine_chunks()
+            if found:
+                yield out(np.concatenate(found))
+        if rest is not None:
+            yield out(_linked(rest, percent))
+
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return tiles.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
 
 
 def _apart(
@@ -245,37 +344,40 @@ def _apart(
 ) -> DataFrame | None:
     """Linked pairs (a, b) across the components of buckets; None where no bucket spans several.
 
-    A bucket's main component is its largest.  Outsiders and main members are
+    A posting's main component is its largest.  Outsiders and main members are
     dealt by hash to chunks of about TILE rows and TILE_SHINGLES shingles; a tile
     holds a chunk of outsiders and one other chunk.
     """
-    named = met.select("band", "key", "id").join(sizes, "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = scratch.save(named.select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp")), "named")
-    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    mixed = parts.groupBy("band", "key").agg(
+    named = met.select("band", "key", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = scratch.save(named.select("band", "key", "id", F.coalesce("component", "id").alias("comp")), "named")
+    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
+    inside = scratch.save(named.join(scratch.save(mixed, "mixed"), ["band", "key"], "left_semi").select("id", "comp").distinct(), "inside")
+    if inside.isEmpty():
+        return None
+    packed = scratch.save(_packed_sets(texts.join(inside.select("id"), "id", "left_semi"), width).join(inside, "id"), "packed")
+    scale = scratch.spark.sparkContext.broadcast(_frequencies(packed))
+    every = scratch.save(_postings(packed, scale, percent), "prefixes")
+    cross = every.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
+    postings = scratch.save(every.join(scratch.save(cross, "cross"), "shingle", "left_semi"), "postings")
+    parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    spanning = parts.groupBy("shingle").agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp", "size")).alias("main")
     )
     chunks = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
-    mixed = scratch.save(
-        mixed.where("k > 1").select(
-            "band",
-            "key",
+    spanning = scratch.save(
+        spanning.where("k > 1").select(
+            "shingle",
             F.col("main.comp").alias("main"),
             chunks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"),
             chunks(F.col("main.n"), F.col("main.size")).alias("inner"),
         ),
-        "mixed",
+        "spanning",
     )
-    if mixed.isEmpty():
-        return None
-    inside = scratch.save(named.drop("size").join(mixed, ["band", "key"]), "inside")
-    packed = scratch.save(_packed_sets(texts.join(inside.select("id").distinct(), "id", "left_semi"), width), "packed")
     outsider = F.col("comp") != F.col("main")
     spread = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
-    dealt = inside.withColumn("chunk", F.when(outsider, spread(F.col("outer"))).otherwise(F.col("outer") + spread(F.col("inner"))))
+    dealt = postings.drop("size").join(spanning, "shingle").withColumn("chunk", F.when(outsider, spread(F.col("outer"))).otherwise(F.col("outer") + spread(F.col("inner"))))
     others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
-    tiles = dealt.select("band", "key", "id", "comp", "chunk", F.explode(others).alias("other")).select(
-        "band", "key", "id", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+    tiles = dealt.select("shingle", "id", "comp", "least", "chunk", F.explode(others).alias("other")).select(
+        "shingle", "id", "comp", "least", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
-    found = tiles.join(packed, "id").groupBy("band", "key", "i", "j").applyInArrow(lambda tile: _linked(tile, percent), "a bigint, b bigint")
-    return found.distinct()
+    return _links(tiles.join(packed.select("id", "shingles"), "id"), percent).distinct()

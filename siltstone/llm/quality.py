@@ -7,9 +7,11 @@ attention, a = softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages, and
 a logistic layer scores the weighted mean of h.  Only document labels are known;
 the weights are learned from them.
 
-Fitting takes a bounded sample of labelled rows (``max_documents``, those with
-the least hash of doc_id, but for texts over ``max_bytes``) on the driver.  Scoring covers every passage of every
-text, with running sums for the softmax, so memory doesn't follow text length.
+Fitting takes a bounded sample of labelled rows on the driver: ``max_documents``,
+those with the least hash of doc_id, one row for each, and of each at most
+``max_passages``, spread evenly over the whole text.  Scoring covers every passage
+of every text, with running sums for the softmax, so memory doesn't follow text
+length.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import blocks, hash_words, row_of, utf8
+from .scratch import refuse_clash
 
 PASSAGE = 64
 MAX_DOCUMENTS = 3000
-MAX_FIT_BYTES = 1 << 18
+MAX_PASSAGES = 256
 HASHED = 64
 BLOCK = 1 << 19
 
@@ -162,10 +165,29 @@ def fit(x: np.ndarray, row: np.ndarray, labels: np.ndarray, hidden: int = 24, at
     return Model(encode, v, u, w, c, float(b[0]))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_FIT_BYTES) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, quality); null labels teach nothing.
+def spread(n: int, most: int) -> np.ndarray:
+    """At most ``most`` of the numbers 0 to n - 1, evenly spread, the first and the last among them."""
+    return np.unique(np.linspace(0, n - 1, min(n, most)).round().astype(np.int64))
 
-    Of a document with several labels the least counts.
+
+def sampled(data: np.ndarray, offsets: np.ndarray, most: int) -> list[np.ndarray]:
+    """Features of ``spread`` passages of each row of a block; a long row is read in parts."""
+    rows = len(offsets) - 1
+    if rows > 1:
+        x, row = passages(data, offsets)
+        cut = np.searchsorted(row, np.arange(rows + 1))
+        return [x[a:b][spread(b - a, most)] for a, b in zip(cut[:-1], cut[1:])]
+    wanted = spread(max(1, -(-len(hash_words(data, offsets)[0]) // PASSAGE)), most)
+    taken = [x[wanted[(wanted >= before) & (wanted < before + len(x))] - before] for x, _, before in _pieces(data, offsets)]
+    return [np.concatenate(taken)]
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_passages: int = MAX_PASSAGES) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, quality); null labels and null ids teach nothing.
+
+    Of a document with several labels the least counts, and of rows that share a
+    doc_id the one of the least text hash.  Labels without a document, and other
+    columns, are not used.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
@@ -180,19 +202,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents
             data, offsets = utf8(batch.column("text"))
             blobs = []
             for i, j in blocks(offsets, BLOCK):
-                x, row = passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                cut = np.searchsorted(row, np.arange(j - i + 1))
-                blobs += [x[a:b].astype(np.float16).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_q_label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "x"])
+                blobs += [x.astype(np.float16).tobytes() for x in sampled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], max_passages)]
+            columns = [batch.column("doc_id"), batch.column("label"), batch.column("mark"), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "mark", "x"])
 
-    rows = (
+    # Passages, not texts, are grouped: one row of each id comes to the driver, however many share it.
+    found = (
         docs.select("doc_id", "text")
-        .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", F.col("_q_label").cast("int").alias("_q_label"), "text")
-        .mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary")
-        .toArrow()
+        .select("doc_id", F.col("_q_label").cast("int").alias("label"), F.xxhash64("text").alias("mark"), "text")
+        .mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, mark bigint, x binary")
     )
+    rows = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("x", "mark").alias("x")).toArrow()
     order = sorted(range(rows.num_rows), key=lambda k: (rows["doc_id"][k].as_py(), rows["x"][k].as_py()))
     mats = [np.frombuffer(rows["x"][k].as_py(), np.float16).reshape(-1, FEATURES) for k in order]
     x = np.concatenate(mats).astype(np.float32) if mats else np.zeros((0, FEATURES), np.float32)
@@ -203,8 +224,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column | str] | None = None) -> DataFrame:
     """Columns ``keep`` of docs with quality_score (0 to 1) and top_passage, the one with most attention.
 
-    Null and empty texts are one empty passage.
+    Null and empty texts are one empty passage.  Every row is scored by itself,
+    whatever its doc_id; equal texts score alike.  ``keep`` may not have the
+    result's names or _q_text; other columns of docs may.
     """
+    refuse_clash(keep, "quality_score", "top_passage", "_q_text")
     kept = docs.select(*(keep or ["doc_id"]))
     names, text = kept.columns, "text"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

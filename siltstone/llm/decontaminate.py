@@ -86,15 +86,11 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[
         return 0, [], []
     text = " " + b" ".join(parts).decode("latin-1") + " "
     spans, found = [], set()
-    counted, at = 0, 0  # spaces before position ``at``
+    edges: np.ndarray | None = None  # where the spaces are: a word's number is that of spaces before its own
     for end, (length, n, ids) in automaton.iter(text):
-        start = end - length + 1
-        if start >= at:
-            counted += text.count(" ", at, start)
-            at = start
-            first = counted
-        else:
-            first = text.count(" ", 0, start)
+        if edges is None:
+            edges = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
+        first = int(np.searchsorted(edges, end - length + 1))
         spans.append((first, first + n))
         found.update(ids)
     return len(parts), merge_ranges(spans), sorted(found)

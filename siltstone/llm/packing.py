@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 from .kernels import blocks, hash_words, utf8
 from .ranking import with_rank
-from .scratch import Scratch
+from .scratch import Scratch, refuse_clash
 
 CAPACITY = 2048
 SEPARATOR = 0
 BLOCK = 1 << 20
 MAX_WORDS = 1_000_000
+PLAN_ROWS = 1 << 20  # of the plan in one broadcast: 32 MB; a longer plan goes in several
 
 # Words for which the tokenizer's own model can be asked directly: letters whose
 # lower case and composed form are plain, then ASCII marks other than ' and <.
@@ -159,10 +161,12 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """Columns ``keep`` of docs, a row for each piece; a null text is empty and has the separator alone.
 
-    ``ids`` are the piece's token ids as little-endian 32-bit integers.
+    Every row of docs has its own pieces, whatever its doc_id.  ``keep`` may not
+    have the result's names or _p_text; other columns of docs may.  ``ids`` are the piece's token ids as little-endian 32-bit integers.
     ``tokenizer`` is the path of a byte-level word vocabulary file that every
     worker can read.
     """
+    refuse_clash(keep, "piece", "start", "length", "ids_crc32", "ids", "_p_text")
     kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_p_text"))
     names = kept.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
@@ -288,8 +292,11 @@ def _sweep(free: dict[int, list[int]], gaps: dict[int, list[tuple[int, int]]], o
 def pack(spark: SparkSession, pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a column length, 1 to capacity) with sequence_id and offset.
 
-    ``order`` breaks ties between equal lengths.  No pieces give no rows.
+    ``order`` breaks ties between equal lengths; rows equal in all of it are
+    interchangeable.  No pieces give no rows.  ``pieces`` may not have the columns
+    sequence_id, offset, rank, _part or _index.
     """
+    refuse_clash(pieces.columns, "sequence_id", "offset", "rank", "_part", "_index")
     scratch = Scratch(spark, "packing")
     pieces = scratch.save(pieces, "pieces")
     ranked, _ = with_rank(spark, pieces, [F.col("length").desc(), *(F.col(c) for c in order)], scratch, "ranked")
@@ -297,20 +304,30 @@ def pack(spark: SparkSession, pieces: DataFrame, order: list[str], capacity: int
     scratch.drop("pieces")
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError("lengths must be 1 to the capacity")
-    shared = spark.sparkContext.broadcast(plan(counts, capacity))
+    runs = plan(counts, capacity)
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared.value
-        for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            run = runs[np.searchsorted(runs[:, 0], rank, side="right") - 1] if len(rank) else runs[:0]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(run[:, 2] + rank - run[:, 0]), pa.array(run[:, 3])], [*columns, "sequence_id", "offset"]
-            )
-
-    return ranked.select(*columns, "rank").mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    def placed(block: np.ndarray) -> DataFrame:
+        """The pieces of a block of the plan, which has consecutive ranks."""
+        shared = spark.sparkContext.broadcast(block)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = shared.value
+            for batch in batches:
+                rank = batch.column("rank").to_numpy()
+                run = rows[np.searchsorted(rows[:, 0], rank, side="right") - 1] if len(rank) else rows[:0]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in columns), pa.array(run[:, 2] + rank - run[:, 0]), pa.array(run[:, 3])], [*columns, "sequence_id", "offset"]
+                )
+
+        inside = ranked
+        if len(block) < len(runs):
+            inside = ranked.where((F.col("rank") >= int(block[0, 0])) & (F.col("rank") < int(block[-1, 0] + block[-1, 1])))
+        return inside.select(*columns, "rank").mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+
+    parts = [placed(runs[k : k + PLAN_ROWS]) for k in range(0, max(len(runs), 1), PLAN_ROWS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,30 +8,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table
-from . import decontaminate, langid, linededup, lm, media, minhash, packing, quality, secrets, sharding
+from . import decontaminate, langid, linededup, lm, media, minhash, oracles, packing, quality, secrets, sharding
 
 
 def remainder(column: str, n: int) -> Column:
-    """crc32 of a column as text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of a column as text, modulo n; -1 for null, so that rows without an id are in no held-out part."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; the model sees text and lang of the ids that aren't held out.
+
+    Null or letterless texts are ``und`` with score 0; rows with a null doc_id
+    teach and aren't held out; every row gets a row, repeated ones alike; other
+    columns are not read; no documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(spark, docs.where(remainder("doc_id", 4) != 2))
     return langid.predict(spark, docs, model, ["doc_id", (remainder("doc_id", 4) == 2).alias("held_out")])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines of repeated three-line windows, the first of each window by (doc_id, line) staying.
+
+    Null texts stay null with no lines; a null doc_id comes last; rows that share
+    doc_id and text are one occurrence; no documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over two-word shingles at similarity 0.8.
+
+    Null, empty and wordless texts are linked with nothing; a null doc_id is
+    linked with nothing, kept, and has a null component_id; rows that share a
+    doc_id are one node and each get a row; no documents give no rows.
+    """
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside 13-word windows of benchmark items.
+
+    Null and empty texts have no words and hit nothing; a null item_id counts as
+    the empty string; repeated documents each get a row, repeated items count
+    under each id; an empty benchmark hits nothing.
+    """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(spark, docs, items)
     n_hit = decontaminate.hit_count()
@@ -42,11 +65,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
-        F.transform("hit_spans", lambda x: F.concat_ws(":", x["first"], x["end"])).alias("hit_spans"),
+        F.array_join(F.transform("hit_spans", lambda x: F.concat_ws(":", x["first"], x["end"])), ",").alias("hit_spans"),
     )
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels of ids that aren't held out.
+
+    Null and empty texts are scored as one empty passage; a null doc_id has no
+    label and isn't held out; repeated rows each get a row, equal texts score
+    alike; without labels every score is 0.5; no documents give no rows.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(spark, docs, labels.where(remainder("doc_id", 5) != 0))
     scored = quality.score(spark, docs, model, ["doc_id", (remainder("doc_id", 5) == 0).alias("held_out")])
@@ -60,6 +89,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all texts under a model of the ids that aren't held out.
+
+    Null and empty texts are their end alone; rows with a null doc_id teach and
+    aren't held out; repeated rows count each time and each get a row; without
+    training rows every token is equally likely; no documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = lm.train(spark, docs.where(remainder("doc_id", 7) != 2))
     scored = lm.score(spark, docs, model, ["doc_id", (remainder("doc_id", 7) == 2).alias("held_out")])
@@ -69,6 +104,11 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of documents, equal in rows, along a Hilbert curve over lang, source and size.
+
+    A null text has no bytes, null lang or source count as empty; repeated rows
+    get a slot each; no documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     return sharding.document_shards(spark, docs, 40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
@@ -76,6 +116,11 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 tokens.
+
+    Null and empty texts are the separator alone; null and repeated ids each have
+    their own pieces; no documents give no rows.
+    """
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -83,6 +128,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an MPEG audio stream and read back.
+
+    Null and empty texts are 64 bytes of 0; rows are independent of ids, and equal
+    texts give equal values; no documents give no rows.
+    """
     stored = media.audio_from_text(table(spark, sf_dir, "documents"))
     read = media.read_audio(stored, ["doc_id", "n_bytes"])
     tail = F.expr("substring(payload, octet_length(payload) - 63, 64)")
@@ -109,6 +159,11 @@ def op9_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: three fixed patterns, and random-looking strings by Markov models.
+
+    Null and empty texts have no spans; rows are independent of ids, repeated ones
+    alike; no documents give no rows.
+    """
     ratios = secrets.train(secrets.labelled_samples(spark))
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), ratios)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("bigint")
@@ -136,4 +191,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _ready(f) for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_decontaminate, op5_quality, op6_kneser_ney, op7_hilbert_shards, op8_best_fit_packing, op9_media_audio, op10_secret_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
+    "op3_minhash_near_dedup": oracles.near_duplicates(2, minhash.PERCENT),
+    "op4_decontaminate": oracles.contamination(decontaminate.WINDOW),
+    "op7_hilbert_shards": oracles.hilbert_shards(40, sharding.BITS),
+}

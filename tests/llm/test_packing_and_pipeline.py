@@ -49,6 +49,15 @@ def test_packing(spark, which, request):
     assert used <= max(least + 1, int(1.02 * least))
 
 
+def test_packing_by_several_broadcasts(spark, documents, monkeypatch):
+    pieces = Scratch(spark, "t").save(packing.token_pieces(documents, PATH), "pieces")
+    whole = sorted(tuple(r) for r in packing.pack(spark, pieces.drop("ids"), ["doc_id", "piece"]).collect())
+    monkeypatch.setattr(packing, "PLAN_ROWS", 40)
+    assert sorted(tuple(r) for r in packing.pack(spark, pieces.drop("ids"), ["doc_id", "piece"]).collect()) == whole
+    with pytest.raises(ValueError):
+        packing.pack(spark, pieces.withColumn("offset", F.lit(1)), ["doc_id"])
+
+
 @pytest.mark.parametrize("which", ["odd", "documents", "none"])
 def test_packed_sequences_hold_the_ids(spark, which, request):
     docs = request.getfixturevalue(which)
@@ -127,10 +136,18 @@ def test_run_is_the_stages_in_turn(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+CLASHING = ["n_words", "items", "hit_words", "hit_spans", "n_lines", "n_removed", "quality_score", "top_passage", "_q_text", "_p_text", "sig", "rep", "kept", "piece", "length", "rank", "_pl_0"]
+
+
 @pytest.mark.parametrize("which", ["odd", "none"])
 def test_stages_on_odd_rows(spark, which, request):
+    """Nulls, ties and repeated rows, with columns called like those that operators make."""
     scratch = Scratch(spark, "t")
-    docs = request.getfixturevalue(which)
+    docs = request.getfixturevalue(which).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         docs = scratch.save(stage(spark, docs, SF), name)
+        if name != "pack":
+            assert docs.columns == columns
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in docs.collect() for c in CLASHING)
     assert docs.count() >= (which == "odd")

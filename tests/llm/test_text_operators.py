@@ -82,6 +82,26 @@ def test_ngrams_do_not_cross_rows():
     assert has.tolist() == [True, True, False, True]
 
 
+def test_ngrams_of_a_long_text_in_parts():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    text = "".join(rng.choice(["ab", "É", " ", "  ", ".", "ΑΣ ", "𝔘", "\0", "9", "zz"]) for _ in range(4000))
+    whole, _, has = langid.ngrams(*kernels.utf8(pa.array([text])))
+    for limit in (1 << 20, 257, 64):
+        parts = list(langid.long_ngrams(text.encode(), limit=limit))
+        assert np.concatenate([g for g, _ in parts]).tolist() == whole.tolist() and any(h for _, h in parts) == has[0]
+    assert sum(len(g) for g, _ in langid.long_ngrams(b"")) == 0
+
+
+def test_kept_columns_named_like_results_are_refused(spark, odd):
+    model = langid.train(spark, odd)
+    with pytest.raises(ValueError):
+        langid.predict(spark, odd.withColumn("score", F.lit(1)), model, ["doc_id", "score"])
+    with pytest.raises(ValueError):
+        lm.score(spark, odd.withColumn("n_known", F.lit(1)), lm.train(spark, odd), ["n_known"])
+
+
 # --- op2
 
 
@@ -113,12 +133,16 @@ def test_line_dedup(spark, which, request):
     assert set(got.columns) == {*docs.columns, "n_lines", "n_removed"}
 
 
-def test_line_dedup_like_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_like_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got = queries.QUERIES["op2_line_dedup"](spark, SF).collect()
-    expected = con.sql(f"SELECT doc_id, n_lines, n_removed, text FROM ({queries.ORACLE_SQL['op2_line_dedup']})").fetchall()
-    assert sorted(tuple(r) for r in got) == sorted(expected)
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    found = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(got.columns)
+    rows = found.select(", ".join(f'"{c}"' for c in got.columns)).fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(rows, key=key)
 
 
 # --- op3
@@ -173,6 +197,39 @@ def test_chains_of_copies_lose_no_link(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_near(rows, 2)
 
 
+@pytest.mark.parametrize("shared", [0, 60, 75, 85])
+def test_prefixes_meet_wherever_sets_are_linked(shared):
+    """Random pairs of sets around the threshold, in any order of shingles."""
+    rng = np.random.default_rng(shared)
+    scale = rng.integers(9, 256, 1 << minhash.SKETCH_BITS).astype(np.uint8)
+    for _ in range(300):
+        n, m = rng.integers(1, 40, 2)
+        pool = rng.choice(1 << 31, 80, replace=False).astype(np.uint32)
+        common = int(min(n, m) * rng.integers(shared, 101) / 100)
+        a, b = pool[:n], np.concatenate([pool[:common], pool[40 : 40 + m - common]])
+        met = len(np.intersect1d(a, b))
+        if 100 * met < 80 * (len(a) + len(b) - met):
+            continue
+        row, shingle, least = minhash.prefixes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scale, 80)
+        sides = [[set(shingle[(row == r) & (least | every)].tolist()) for every in (False, True)] for r in (0, 1)]
+        small, large = (0, 1) if len(a) <= len(b) else (1, 0)
+        assert sides[small][0] & sides[large][1]
+
+
+def test_shared_text_of_unlinked_documents_is_no_quadratic_work(spark):
+    """Documents that share a header of most of their words, but aren't near: 9 s a thousand were spent on them once."""
+    rng = random.Random(6)
+    header = " ".join(f"h{n}" for n in range(140))
+    text = lambda: f"{header} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    docs = [(n, text()) for n in range(6000)]
+    docs += [(6000 + n, docs[n][1].rsplit(" ", 6)[0]) for n in range(40)]
+    frame = Scratch(spark, "t").save(spark.createDataFrame(docs, "doc_id bigint, text string"), "docs")
+    began = time.monotonic()
+    got = minhash.near_duplicates(spark, frame, 2).collect()
+    assert time.monotonic() - began < 60
+    assert {r.doc_id: r.component_id for r in got} == {n: n if n < 6000 else n - 6000 for n, _ in docs}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 60)] + [(3, 3), (200, 201), (201, 200)]
     got = dict(tuple(r) for r in components.connected_components(spark, spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t"), "c").collect())
@@ -274,6 +331,30 @@ def test_long_texts_score_as_in_one_piece(spark, odd):
     assert abs(whole - parts).max() < 0.05 and len(top) == len(top_parts) == 1
 
 
+def test_quality_fits_on_a_bounded_sample(spark):
+    """One row of an id, at most MAX_PASSAGES of a text, spread over the whole of it."""
+    assert quality.spread(5, 9).tolist() == [0, 1, 2, 3, 4] and quality.spread(1000, 5).tolist() == [0, 250, 500, 749, 999]
+    text = " ".join(f"w{n}" for n in range(64 * 40)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole, = quality.sampled(data, offsets, 1000)
+    few, = quality.sampled(data, offsets, 7)
+    assert len(whole) == 40 and (few == whole[quality.spread(40, 7)]).all()
+    old, quality.BLOCK = quality.BLOCK, 1 << 12
+    try:
+        assert (quality.sampled(data, offsets, 7)[0][:, -4:] == few[:, -4:]).all()
+    finally:
+        quality.BLOCK = old
+    docs = spark.createDataFrame([(1, "good text here")] * 50 + [(1, "other")] + [(2, "bad ||| !!!")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, row, labels: seen.append((len(x), labels.tolist())) or fit(x, row, labels)
+    try:
+        quality.train(spark, docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [(2, [1.0, 0.0])]
+
+
 # --- op6
 
 
@@ -323,6 +404,7 @@ def test_scores(spark, which, share, order, many, request, monkeypatch):
     if many:  # shards as of far more rows
         monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 6)
         monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 10)
+        monkeypatch.setattr(lm, "FAN_BITS", 1)
     docs = request.getfixturevalue(which).withColumn("n_tokens2", F.lit(0)).withColumn("at", F.monotonically_increasing_id())
     docs = Scratch(spark, "t").save(docs, "docs")
     learn = F.lit(False) if share is None else F.coalesce(F.col("doc_id"), F.lit(0)) % share != 1
@@ -408,6 +490,29 @@ def test_shards(spark, which, request):
     assert all(a.curve <= b.curve for a, b in zip(ordered, ordered[1:]))
 
 
+def test_shards_prune_in_every_dimension(spark):
+    """A filter on one value reads few of the 40 shards; by rank of the id it would read nearly all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sharded = Scratch(spark, "t").save(sharding.document_shards(spark, docs, 40), "sharded")
+    bounds = sharding.shard_bounds(sharded, ["lang", "source", "size"]).collect()
+    rows = sharded.collect()
+    assert sum(b.rows for b in bounds) == len(rows) and len(bounds) == 40
+    read = {}
+    for c in ("lang", "source", "size"):
+        values = sorted({r[c] for r in rows})
+        read[c] = np.mean([sum(b[f"least_{c}"] <= v <= b[f"most_{c}"] for b in bounds) for v in values])
+    print(read)
+    assert read["lang"] < 20 and read["source"] < 20 and read["size"] < 12
+
+
+def test_quantiles_of_one_value_and_of_nulls(spark):
+    rows = spark.createDataFrame([(k, None if k < 3 else "a", 7) for k in range(10)], "doc_id bigint, name string, n bigint")
+    got = sharding.hilbert_shards(spark, rows, ["name", "n"], ["doc_id"], 3).collect()
+    assert sorted(r.shard for r in got) == [0] * 4 + [1] * 3 + [2] * 3 and len({r.curve for r in got}) == 2
+    with pytest.raises(ValueError):
+        sharding.hilbert_shards(spark, rows.withColumn("slot", F.lit(1)), ["n"], ["doc_id"], 3)
+
+
 # --- op9
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,18 @@ def text_bytes(column: Column) -> Column:
     return F.transform(positions, lambda i: F.conv(digits.substr(i + 1, F.lit(2)), 16, 10).cast("bigint"))
 
 
+def _fold(values: Column, number: Callable[[Column], Column]) -> Column:
+    step = lambda h, b: (h.bitwiseXOR(number(b)) * F.lit(FNV_PRIME)).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.aggregate(values, F.lit(FNV_OFFSET).cast("bigint"), step)
+
+
 def fnv1a32(column: Column) -> Column:
-    """FNV-1a over the bytes of a string, as an unsigned 32-bit number in a bigint; the offset basis for ''."""
-    return F.aggregate(
-        text_bytes(column),
-        F.lit(FNV_OFFSET).cast("bigint"),
-        lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(FNV_PRIME), F.lit(1 << 32)),
-    )
+    """FNV-1a over the bytes of a string, as an unsigned 32-bit number in a bigint; the offset basis for ''.
+
+    Where every character is one byte, its number is the byte.
+    """
+    plain = F.when(column == "", F.lit(FNV_OFFSET).cast("bigint")).otherwise(_fold(F.split(column, ""), lambda c: F.ascii(c).cast("bigint")))
+    return F.when(F.octet_length(column) == F.char_length(column), plain).otherwise(_fold(text_bytes(column), lambda b: b))
 
 
 def shard_of(column: Column, shards: int = SHARDS) -> Column:

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.hashing import octets
 
@@ -28,24 +32,63 @@ def hot_capacity(capacity: int) -> int:
     return capacity // 8
 
 
+def _in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    return rows.repartition(F.col(group)).sortWithinPartitions(group, *order)
+
+
+def _schema(rows: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), more])
+
+
 def sorted_fold(
-    rows: DataFrame, group: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], result: str, out: str
+    rows: DataFrame, group: str, order: list[str], start: Callable[[], object], step: Callable[..., object], args: list[str], result: str, out: str
 ) -> DataFrame:
-    """``rows`` with a column of what ``step(state, row)`` returns, along each group's order."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    """``rows`` with a column of what ``step(state, *args)`` returns, along each group's order.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the group and ``args`` become Python values; other columns pass through.
+    """
+    names, kind = rows.columns, to_arrow_type(_parse_datatype_string(result))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
-        for frame in frames:
-            at = frame.columns.get_loc(group)
+        for batch in batches:
             found = []
-            for row in frame.itertuples(index=False, name=None):
-                if row[at] != now:
-                    now, state = row[at], start()
-                found.append(step(state, row))
-            yield frame.assign(**{out: found})
+            for value, *given in zip(batch.column(group).to_pylist(), *(batch.column(c).to_pylist() for c in args)):
+                if value != now:
+                    now, state = value, start()
+                found.append(step(state, *given))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, out])
+
+    return _in_order(rows, group, order).mapInArrow(run, _schema(rows, f"{out} {result}"))
+
+
+def leaders(us: np.ndarray, first: np.ndarray, width: int, inclusive: bool, anchor: int | None) -> tuple[np.ndarray, int]:
+    """Which rows open a window, and the last run's anchor; runs begin at ``first`` and ascend by ``us``.
 
-    return rows.repartition(F.col(group)).sortWithinPartitions(group, *order).mapInPandas(run, f"{schema}, {out} {result}")
+    ``anchor`` is that of the first run, if it goes on from before.  All runs
+    jump from window to window together.
+    """
+    n = len(us)
+    ends = np.append(first[1:], n)
+    sizes, side = ends - first, "right" if inclusive else "left"
+    at = first.copy()
+    if anchor is not None:
+        at[0] = np.searchsorted(us[: ends[0]], anchor + width, side=side)
+    width = min(width, int(us.max()) - int(us.min()) + 1)
+    # Runs in a row on one axis, further apart than a window.
+    low, span = us[first], us[ends - 1] - us[first] + width + 2
+    line = us + np.repeat(np.concatenate([[0], np.cumsum(span)[:-1]]) - low, sizes)
+    after = np.maximum(np.searchsorted(line, line + width, side=side), np.arange(1, n + 1))
+    run_end = np.repeat(ends, sizes)
+    out = np.zeros(n, bool)
+    at = at[at < ends]
+    while len(at):
+        out[at] = True
+        step = after[at]
+        at = step[step < run_end[at]]
+    opened = np.flatnonzero(out[first[-1] :])
+    last = int(us[first[-1] + opened[-1]]) if len(opened) else anchor
+    return out, last
 
 
 def anchored_leaders(access: DataFrame, width: int, inclusive: bool) -> DataFrame:
@@ -56,15 +99,20 @@ def anchored_leaders(access: DataFrame, width: int, inclusive: bool) -> DataFram
     in flight).  Windows follow loads, not uses, so gaps don't matter.
     """
 
-    def step(state: dict, row: tuple) -> bool:
-        us = row[1]
-        anchor = state.get("at")
-        if anchor is None or (us > anchor + width if inclusive else us >= anchor + width):
-            state["at"] = us
-            return True
-        return False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = pc.run_end_encode(batch.column("key")).run_ends.to_numpy()
+            first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            same = anchor is not None and batch.column("key")[0].as_py() == key
+            leads, anchor = leaders(batch.column("us").to_numpy(), first, width, inclusive, anchor if same else None)
+            key = batch.column("key")[batch.num_rows - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leads)], ["key", "us", "tie", "leads"])
 
-    return sorted_fold(access.select("key", "us", "tie"), "key", ["us", "tie"], dict, step, "boolean", "leads")
+    rows = access.select("key", "us", "tie")
+    return _in_order(rows, "key", ["us", "tie"]).mapInArrow(run, _schema(rows, "leads boolean"))
 
 
 def hits_and_misses(access: DataFrame, ttl_us: int) -> DataFrame:
@@ -87,8 +135,7 @@ def lru_hits_by(access: DataFrame, order: list[str], capacity: int) -> DataFrame
     unbounded.
     """
 
-    def step(held: OrderedDict, row: tuple) -> bool:
-        key, nbytes = row[-2:]
+    def step(held: OrderedDict, key: str, nbytes: int) -> bool:
         if key in held:
             held.move_to_end(key)
             return True
@@ -100,7 +147,7 @@ def lru_hits_by(access: DataFrame, order: list[str], capacity: int) -> DataFrame
         held.move_to_end(_USED, last=False)
         return False
 
-    return sorted_fold(access.select("shard", *order, "key", "nbytes"), "shard", order, OrderedDict, step, "boolean", "hit")
+    return sorted_fold(access.select("shard", *order, "key", "nbytes"), "shard", order, OrderedDict, step, ["key", "nbytes"], "boolean", "hit")
 
 
 _USED = ("bytes in use",)  # no key of a trace is a tuple
@@ -119,8 +166,7 @@ def lru_machine(ops: DataFrame, capacity: int) -> DataFrame:
     that expired.  Every drop counts as an eviction.
     """
 
-    def step(held: OrderedDict, row: tuple) -> dict:
-        _, _, op, key, value, ttl, at = row
+    def step(held: OrderedDict, op: str, key: str, value: str | None, ttl: int | None, at: int | None) -> dict:
         size = lambda k: len(k.encode()) + len(held[k][0].encode())
         state = held.setdefault(_USED, [0])
         held.move_to_end(_USED, last=False)
@@ -153,7 +199,12 @@ def lru_machine(ops: DataFrame, capacity: int) -> DataFrame:
         return {"hit": hit, "value": found, "evicted": gone, "items": len(held) - 1, "bytes": state[0]}
 
     rows = ops.select("shard", "seq", "op", "key", "value", "ttl", "at")
-    return sorted_fold(rows, "shard", ["seq"], OrderedDict, step, MACHINE, "done")
+    return sorted_fold(rows, "shard", ["seq"], OrderedDict, step, ["op", "key", "value", "ttl", "at"], MACHINE, "done")
+
+
+def _from_end(adds: DataFrame) -> DataFrame:
+    later = Window.partitionBy("shard").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return adds.withColumn("from_end", F.sum("nbytes").over(later))
 
 
 def lru_contents(adds: DataFrame, capacity: int) -> DataFrame:
@@ -162,8 +213,12 @@ def lru_contents(adds: DataFrame, capacity: int) -> DataFrame:
     ``adds`` has shard, seq, key, nbytes.  An entry stays if it and all later
     ones fit together.
     """
-    later = Window.partitionBy("shard").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return adds.withColumn("from_end", F.sum("nbytes").over(later)).where(F.col("from_end") <= capacity).drop("from_end")
+    return _from_end(adds).where(F.col("from_end") <= capacity).drop("from_end")
+
+
+def lru_overflow(adds: DataFrame, capacity: int) -> DataFrame:
+    """The rows that ``lru_contents`` leaves out; capacity 0 is unbounded."""
+    return _from_end(adds).where((F.col("from_end") > capacity) & F.lit(capacity > 0)).drop("from_end")
 
 
 def bytes_used(entries: DataFrame) -> DataFrame:

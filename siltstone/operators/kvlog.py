@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 
 
 def event_log(events: DataFrame) -> DataFrame:
-    """The test log: users are keys, errors are deletes, days are generations."""
+    """The test log: users are keys, errors are deletes, and the days since 1970 are generations."""
     return events.select(
         F.concat(F.lit("user-"), F.col("user_id")).alias("key"),
         F.struct("ts", "event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"),
         F.concat_ws(":", "event_type", "event_id").alias("value"),
-        F.dayofmonth("ts").alias("file_no"),
+        F.unix_date(F.col("ts").cast("date")).alias("file_no"),
     )
 
 
+def user_events(events: DataFrame, key: str) -> DataFrame:
+    """The events behind one key of ``event_log``: a predicate on the stored column, which reaches the scan."""
+    number = key.removeprefix("user-")
+    if not key.startswith("user-") or not number.isascii() or not number.isdigit() or str(int(number)) != number:
+        return events.where(F.lit(False))
+    return events.where(F.col("user_id") == int(number))
+
+
 def latest(log: DataFrame, *by: str) -> DataFrame:
     """The latest row of each group: ``by`` columns, op and value; deletes have no value."""
     merged = log.groupBy(*by).agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
@@ -51,11 +59,9 @@ def seek(log: DataFrame, target: str, n: int) -> DataFrame:
 
 def merge_get(log: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe key: code 0 (absent), 1 (found) or 2 (deleted), the value, and the newest file that has it."""
-    newest = (
-        raw_scan(log)
-        .groupBy("key")
-        .agg(F.max_by(F.struct("file_no", "value", "is_deleted"), "file_no").alias("hit"))
-    )
+    asked = probes.select("key").distinct()
+    held = log.join(asked, "key", "left_semi")  # before any merging
+    newest = raw_scan(held).groupBy("key").agg(F.max_by(F.struct("file_no", "value", "is_deleted"), "file_no").alias("hit"))
     return probes.select("key").join(newest, "key", "left").select(
         "key",
         F.when(F.col("hit").isNull(), 0).when(F.col("hit.is_deleted"), 2).otherwise(1).alias("code"),

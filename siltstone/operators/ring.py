@@ -35,8 +35,8 @@ def ring_arcs(points: DataFrame) -> DataFrame:
     return arcs.unionByName(ends.select("lo", F.lit(SPACE - 1).cast("bigint").alias("hi"), "node")).where("hi > lo")
 
 
-def owners(keys: DataFrame, points: DataFrame, hash_of: Callable[[Column], Column] = crc32) -> DataFrame:
-    """``keys`` (key) with owner; null on an empty ring.
+def owners(keys: DataFrame, points: DataFrame, hash_of: Callable[[Column], Column] = crc32, name: str = "owner") -> DataFrame:
+    """``keys`` (key) with the column ``name``, their owner; null on an empty ring.
 
     Arcs are spread over the buckets of the hash space that they touch, so the
     lookup is an equi-join whose small side is bounded by points and buckets.
@@ -46,11 +46,13 @@ def owners(keys: DataFrame, points: DataFrame, hash_of: Callable[[Column], Colum
     )
     hashed = keys.withColumn("_h", hash_of(F.col("key")).cast("bigint")).withColumn("bucket", F.shiftright("_h", BUCKET_BITS))
     joined = hashed.join(spread, (hashed["bucket"] == spread["bucket"]) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi")), "left")
-    return joined.select(*[hashed[c] for c in keys.columns], F.col("node").alias("owner"))
+    return joined.select(*[hashed[c] for c in keys.columns], F.col("node").alias(name))
 
 
 def moved(keys: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Keys whose owner differs between two rings: (key, old_owner, new_owner)."""
-    old = owners(keys, before).withColumnRenamed("owner", "old_owner")
-    new = owners(keys, after).withColumnRenamed("owner", "new_owner")
-    return old.join(new, "key").where(~F.col("old_owner").eqNullSafe(F.col("new_owner")))
+    """Keys whose owner differs between two rings: (key, old_owner, new_owner), a row for each row of ``keys``.
+
+    Both owners are looked up in one pass over the keys.
+    """
+    both = owners(owners(keys.select("key"), before, name="old_owner"), after, name="new_owner")
+    return both.where(~F.col("old_owner").eqNullSafe(F.col("new_owner")))

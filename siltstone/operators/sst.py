@@ -10,6 +10,8 @@ from ..functions.hashing import octets
 # Fixed value: type byte and two 4-byte lengths around key and value.
 RECORD_OVERHEAD = 9
 
+MAX_PROBES = 100_000
+
 
 def record_bytes() -> Column:
     """Bytes of a log or file record; deletes carry no value."""
@@ -37,13 +39,22 @@ def manifest(files: DataFrame) -> DataFrame:
         F.count("*").alias("num_entries"),
         F.sum("bytes").alias("data_bytes"),
     )
-    top = files.agg((F.max("file_no") + 1).alias("next_file_no"))
+    top = per_file.agg((F.max("file_no") + 1).alias("next_file_no"))  # reads the exchange of per_file again
     return per_file.join(F.broadcast(top)).withColumn("level", F.lit(0))  # one row: an aggregate without keys
 
 
-def candidate_files(manifest_df: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, file_no) of files whose range covers a probe, as both tables are small by nature (keys asked for, files)."""
-    return probes.select("key").join(manifest_df, F.col("key").between(F.col("smallest"), F.col("largest"))).select("key", "file_no")
+def candidate_files(manifest_df: DataFrame, probes: DataFrame, max_probes: int = MAX_PROBES) -> DataFrame:
+    """(key, file_no) of files whose range covers a probe.
+
+    The probes, distinct and at most ``max_probes`` (more is an error), go to the
+    files as one sorted array, so that a row of the result is made only where a
+    range covers a key.
+    """
+    few = probes.select("key").where("key IS NOT NULL").distinct().limit(max_probes + 1)
+    listed = few.agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    bounded = F.when(F.size("keys") <= max_probes, F.col("keys")).otherwise(F.raise_error(F.lit(f"more than {max_probes} probes")))
+    covered = F.filter("keys", lambda k: k.between(F.col("smallest"), F.col("largest")))
+    return manifest_df.join(F.broadcast(listed.select(bounded.alias("keys")))).select(F.explode(covered).alias("key"), "file_no")
 
 
 def entry_offsets(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..group import Group, GroupOptions
 from ..operators import cache, kvlog, ring, routes, sst, tiers
 from ..session import ship_package, table
 
@@ -19,6 +20,7 @@ ORACLE_SQL: dict[str, str] = {}
 POINT_KEY, SEEK_KEY, SEEK_ROWS, TORN_AT = "user-7", "user-3", 25, 2000
 PROBES = ["user-0", "user-1", "user-75", "user-99", "user-zzz"]
 TTL_US, CALL_US = 6 * 3600 * 10**6, 3600 * 10**6
+LOAD_US = 100 * 24 * 3600 * 10**6
 LRU_BYTES, PART_BYTES = 16384, 8192
 NOW = 25
 SELF_NODE = "CHINA"
@@ -46,7 +48,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG = """l AS (SELECT 'user-' || user_id AS key, ts, event_id,
   CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op,
-  event_type || ':' || event_id AS value, day(ts)::INT AS file_no FROM events)"""
+  event_type || ':' || event_id AS value, (ts::DATE - DATE '1970-01-01')::INT AS file_no FROM events)"""
 LAST = f"{LOG}, m AS (SELECT key, arg_max(op, (ts, event_id)) AS op, arg_max(value, (ts, event_id)) AS value FROM l GROUP BY key)"
 RAW = f"""{LOG}, q AS (SELECT *, row_number() OVER (PARTITION BY file_no, key ORDER BY ts DESC, event_id DESC) AS rn FROM l),
 r AS (SELECT file_no, key, CASE WHEN op = 'put' THEN value END AS value, op = 'delete' AS is_deleted FROM q WHERE rn = 1)"""
@@ -111,7 +113,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LAST} SELECT key, value FROM m WHERE op = 'put' AND key = '{POINT_KEY}'")
 def q01_kv_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kvlog.point_get(_log(spark, sf_dir), POINT_KEY)
+    return kvlog.point_get(kvlog.event_log(kvlog.user_events(table(spark, sf_dir, "events"), POINT_KEY)), POINT_KEY)
 
 
 @query(f"WITH {LAST} SELECT key, value FROM m WHERE op = 'put'")
@@ -439,8 +441,65 @@ def q32_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.recency(_accesses(spark, sf_dir).select("key", "seq"), hashing.shard_of(F.col("key")))
 
 
-@query("SELECT 'user-' || user_id AS key, count(*) AS reads, 1::BIGINT AS loads FROM events GROUP BY 1")
+@query(f"""WITH RECURSIVE t AS (SELECT 'part-' || l_partkey AS key, epoch_us(l_shipdate) AS us, count(*) AS n FROM lineitem GROUP BY ALL),
+a AS (SELECT key, min(us) AS us FROM t GROUP BY key UNION ALL
+  SELECT key, nxt FROM (SELECT a.key, (SELECT min(t.us) FROM t WHERE t.key = a.key AND t.us > a.us + {LOAD_US}) AS nxt FROM a) WHERE nxt IS NOT NULL),
+l AS (SELECT key, count(*) AS loads, max(us) AS last FROM a GROUP BY key), r AS (SELECT key, sum(n)::BIGINT AS reads FROM t GROUP BY key)
+SELECT key, reads, loads::BIGINT AS loads, (last + {LOAD_US})::BIGINT AS expires_us FROM r JOIN l USING (key)""")
 def q33_load_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without expiry a key is loaded by its first read only."""
-    led = cache.anchored_leaders(_trace(spark, sf_dir), 1 << 62, True)
-    return led.groupBy("key").agg(F.count("*").alias("reads"), F.count_if("leads").alias("loads"))
+    """Reads of parts in the order they were shipped, each load serving those of a hundred days."""
+    lines = table(spark, sf_dir, "lineitem")
+    us = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    reads = lines.select(F.concat(F.lit("part-"), F.col("l_partkey")).alias("key"), us.alias("us"), F.struct("l_orderkey", "l_linenumber").alias("tie"))
+    led = cache.anchored_leaders(reads, LOAD_US, True)
+    loaded = F.max(F.when(F.col("leads"), F.col("us")))
+    return led.groupBy("key").agg(F.count("*").alias("reads"), F.count_if("leads").alias("loads"), (loaded + LOAD_US).alias("expires_us"))
+
+
+# --- groups ----------------------------------------------------------------------------------------------------------
+
+GROUP_BYTES, GROUP_TTL, PURGE_AT = 1 << 16, 1000, 1500
+
+
+def _part_group(spark: SparkSession, sf_dir: str, options: GroupOptions) -> Group:
+    """A group of its own, unregistered, that reads part names."""
+    source = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("key"), F.col("p_name").alias("value"))
+    return Group(spark, "parts", lambda keys: source.join(keys, "key"), options, setter=lambda rows: None)
+
+
+def _part_keys(spark: SparkSession, sf_dir: str, n: int, rest: int) -> DataFrame:
+    parts = table(spark, sf_dir, "part").where(F.col("p_partkey") % n == rest)
+    return parts.select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("key"))
+
+
+@query(f"""WITH {PART}, u AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END AS call FROM s WHERE seq % 3 < 2),
+z AS (SELECT *, sum(nbytes) OVER (PARTITION BY shard ORDER BY call DESC, key DESC ROWS UNBOUNDED PRECEDING) AS n FROM u)
+SELECT key, value FROM z WHERE n <= {GROUP_BYTES // 256}""")
+def q34_group_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two reads of many keys leave in a group whose main tier can't hold them."""
+    group = _part_group(spark, sf_dir, GroupOptions(cache_bytes=GROUP_BYTES))
+    for rest in (0, 1):
+        group.get(_part_keys(spark, sf_dir, 3, rest), 0)
+    return group.main.select("key", "value")
+
+
+@query(f"""SELECT 'part-' || p_partkey AS key, p_name AS value, CASE WHEN p_partkey % 2 = 0 THEN {GROUP_TTL} ELSE {GROUP_TTL + 1000} END::BIGINT AS expire_at
+FROM part WHERE p_partkey % 2 = 1 OR {GROUP_TTL} >= {PURGE_AT}""")
+def q35_group_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cleanup leaves of entries that two writes, a second apart, have cached."""
+    group = _part_group(spark, sf_dir, GroupOptions(main_ttl=GROUP_TTL))
+    for rest in (0, 1):
+        parts = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == rest)
+        group.set(parts.select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("key"), F.col("p_name").alias("value")), rest * 1000)
+    group.purge(PURGE_AT)
+    return group.main
+
+
+@query(f"""WITH {LOG}, p AS (SELECT key, arg_max(value, (ts, event_id)) AS value FROM l GROUP BY key)
+SELECT key, value, 'main' AS tier FROM p""")
+def q36_group_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One write of a whole log, in which keys repeat, then a read of every key: the last row of a key holds."""
+    group = _part_group(spark, sf_dir, GroupOptions())
+    log = _log(spark, sf_dir)
+    group.set(log.orderBy("seq").select("key", "value"), 0)
+    return group.get(log.select("key"), 0)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,17 +51,45 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared checkpoint folder, its lineage cut; the folder is the session's, or our own where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, or our own where none is set; without trailing slash."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Folder:
+    """Tables of our own in the shared folder; what is left of them goes with the driver process."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._last)
+
+    def save(self, df: DataFrame, name: str) -> str:
+        """Write a table; its path."""
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return f"{self.path}/{name}"
+
+    def drop(self, *paths: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _last(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            self.drop(self.path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -211,3 +211,65 @@ def test_routes(spark):
 
 def test_url_key(spark):
     assert spark.range(1).select(routes.url_key(F.lit("g"), F.lit("a b/c"))).first()[0] == "/_cache/g/a+b%2Fc"
+
+
+def test_moved_keys_that_repeat(spark):
+    keys = spark.createDataFrame([(f"k{n % 20}",) for n in range(60)], "key string")
+    nodes = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "node string, added int")
+    before, after = ring.ring_points(nodes.where("added < 2")), ring.ring_points(nodes)
+    old, new = ({r.key: r.owner for r in ring.owners(keys.distinct(), p).collect()} for p in (before, after))
+    got = ring.moved(keys, before, after).collect()
+    assert sorted((r.key, r.old_owner, r.new_owner) for r in got) == sorted((k, old[k], new[k]) for n in range(60) for k in [f"k{n % 20}"] if old[k] != new[k])
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("width", [0, 3, 50, 1 << 62])
+def test_leaders_over_batches_like_a_loop(inclusive, width):
+    import numpy as np
+
+    rng = random.Random(width)
+    rows = sorted((rng.choice("abcde"), rng.randrange(200)) for _ in range(400))
+    expected, now, at = [], None, 0
+    for key, us in rows:
+        leads = key != now or (us > at + width if inclusive else us >= at + width)
+        if leads:
+            now, at = key, us
+        expected.append(leads)
+    for size in (1, 7, 400):
+        got, key, anchor = [], None, None
+        for k in range(0, len(rows), size):
+            part = rows[k : k + size]
+            first = np.array([i for i in range(len(part)) if i == 0 or part[i][0] != part[i - 1][0]])
+            leads, last = cache.leaders(np.array([us for _, us in part]), first, width, inclusive, anchor if part[0][0] == key else None)
+            got, key, anchor = got + leads.tolist(), part[-1][0], last
+        assert got == expected
+
+
+def test_hash_of_texts_beyond_one_byte(spark):
+    texts = ["", "a", "part-7", "ключ", "a€𝔘", "\x7f\x80", "\x00"]
+
+    def fnv(raw):
+        h = 2166136261
+        for b in raw:
+            h = (h ^ b) * 16777619 % 2**32
+        return h
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.fnv1a32(F.col("t")).alias("h")).collect()
+    assert [r.h for r in got] == [fnv(r.t.encode()) for r in got]
+
+
+def test_a_key_of_the_event_log_is_a_predicate_on_the_scan(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for key in ("user-7", "user-07", "user-x", "other", "user-"):
+        got = kvlog.event_log(kvlog.user_events(events, key)).where(F.col("key") == key).count()
+        assert got == kvlog.event_log(events).where(F.col("key") == key).count()
+    plan = kvlog.point_get(kvlog.event_log(kvlog.user_events(events, "user-7")), "user-7")._jdf.queryExecution().toString()
+    assert "EqualTo(user_id,7)" in plan
+
+
+def test_files_by_probes_are_bounded(spark):
+    files = spark.createDataFrame([(1, "a", "m"), (2, "k", "z"), (3, "p", "q")], "file_no int, smallest string, largest string")
+    probes = spark.createDataFrame([("l",), ("p",), ("p",), ("zz",), (None,)], "key string")
+    assert sorted(tuple(r) for r in sst.candidate_files(files, probes).collect()) == [("l", 1), ("l", 2), ("p", 2), ("p", 3)]
+    with pytest.raises(Exception, match="more than 2 probes"):
+        sst.candidate_files(files, probes, 2).collect()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import group as groups
+from siltstone.functions import hashing
 from siltstone.operators import tiers
 from siltstone.store import LogStore
 
@@ -106,3 +107,116 @@ def test_group_remove_and_peers(spark, scores):
     assert set(tiers_.values()) == {"peer"}  # this node isn't on the ring
     assert {r.tier for r in scores.get(keys(spark, "Tom"), 5001).collect()} == {"hot"}
     assert {r.tier for r in scores.get(keys(spark, "Tom"), 5002).collect()} == {"peer"}
+
+
+def test_repeated_keys_keep_the_last(spark, scores):
+    scores.set(kv(spark, [("k", "1"), ("k", "2"), ("k", "3")]).coalesce(1), 0)
+    assert [(r.value, r.tier) for r in scores.get(keys(spark, "k"), 0).collect()] == [("3", "main")]
+    assert scores.source["k"] == "3" and scores.main.count() == scores.l3.count() == 1
+
+
+def test_bounded_group_against_a_sequential_lru(spark):
+    """Random reads, writes and removals in calls of a few keys; what stays is what an LRU a shard keeps."""
+    import random
+    from collections import OrderedDict
+
+    from siltstone.operators import cache
+
+    rng, gone = random.Random(3), []
+    near = spark.range(4000).select(F.format_string("k%04d", "id").alias("key")).where(hashing.shard_of(F.col("key")) < 2).limit(24)
+    source = {r.key: "v" * (n % 6) for n, r in enumerate(near.collect())}  # in two shards
+    getter = lambda wanted: spark.createDataFrame([(r.key, source[r.key]) for r in wanted.collect()], KV)
+    group = groups.Group(spark, "g", getter, groups.GroupOptions(cache_bytes=256 * 12), on_evicted=lambda rows: gone.extend(r.key for r in rows.collect()))
+    limit, shards, dropped = cache.shard_capacity(256 * 12), {}, []
+
+    def shard(key):
+        h = 2166136261
+        for b in key.encode():
+            h = (h ^ b) * 16777619 % 2**32
+        return shards.setdefault(h % 256, OrderedDict())
+
+    for _ in range(4):
+        some = sorted(rng.sample(sorted(source), 7))
+        group.get(keys(spark, *some), 0)
+        hit = [k for k in some if k in shard(k)]
+        for k in hit:
+            shard(k).move_to_end(k)
+        for k in (k for k in some if k not in hit):
+            held = shard(k)
+            held[k] = len(k) + len(source[k])
+            while sum(held.values()) > limit:
+                dropped.append(held.popitem(last=False)[0])
+        out = rng.choice(sorted(source))
+        group.remove(keys(spark, out))
+        shard(out).pop(out, None)
+    assert {r.key for r in group.main.collect()} == {k for held in shards.values() for k in held}
+    assert sorted(gone) == sorted(dropped) and dropped
+
+
+def test_tiers_merge_their_changes(spark, monkeypatch):
+    monkeypatch.setattr(groups, "MOST_PARTS", 3)
+    tier = groups.Tier(spark)
+    for n in range(12):
+        tier.put(kv(spark, [(f"k{n % 5}", str(n))]).withColumn("expire_at", F.lit(n).cast("bigint")))
+        if n == 8:
+            tier.drop(keys(spark, "k0"))
+    assert pairs(tier.view()) == {("k0", "10"), ("k1", "11"), ("k2", "7"), ("k3", "8"), ("k4", "9")} and len(tier.parts) <= 4
+    tier.purge(9)
+    assert {r.key for r in tier.view().collect()} == {"k0", "k1", "k4"}
+
+
+def test_client_in_front_of_a_group(spark, scores):
+    client = groups.Client(scores, 100)
+    first = {(r.value, r.tier) for r in client.get(keys(spark, "Tom"), 0).collect()}
+    scores.remove(keys(spark, "Tom"), publish=lambda k: None)
+    second = {(r.value, r.tier) for r in client.get(keys(spark, "Tom", "unknown"), 100).collect()}
+    third = {(r.value, r.tier) for r in client.get(keys(spark, "Tom"), 101).collect()}
+    assert (first, second, third) == ({("630", "source")}, {("630", "client"), (None, "miss")}, {("630", "source")})
+
+
+def test_peers_read_through_their_own_tiers(spark):
+    asked = []
+
+    def group(own):
+        def getter(wanted):
+            names = [r.key for r in wanted.collect()]
+            asked.extend((own, n) for n in names)
+            return kv(spark, [(n, f"{own}:{n}") for n in names if n != "none"])
+
+        return groups.Group(spark, own, getter, groups.GroupOptions(own=own))
+
+    one, two = group("p1"), group("p2")
+    nodes = spark.createDataFrame([("p1", 0), ("p2", 1)], "node string, added int")
+    one.register_peers(nodes, {"p2": two})
+    two.register_peers(nodes, {"p1": one})
+    names = [f"k{n}" for n in range(12)] + ["none"]
+    owner = {r.key: r.owner for r in one.owned(keys(spark, *names)).collect()}
+    assert set(owner.values()) == {"p1", "p2"}
+    got = {r.key: (r.value, r.tier) for r in one.get(keys(spark, *names), 0).collect()}
+    assert got["none"] == (None, "miss")
+    assert all(got[n] == (f"{owner[n]}:{n}", "source" if owner[n] == "p1" else "peer") for n in names[:-1])
+    assert {r.key for r in two.main.collect()} == {n for n in names[:-1] if owner[n] == "p2"}
+    asked.clear()
+    assert {r.tier for r in one.get(keys(spark, *names[:-1]), 5001).collect()} == {"main", "peer"} and not asked
+    one.remove(keys(spark, *names))
+    assert two.main.count() == 0
+
+
+def test_invalidation_by_a_topic(spark, tmp_path):
+    from siltstone.streaming.topic import Topic
+
+    source = {"Tom": "1"}
+    getter = lambda wanted: kv(spark, [(r.key, source[r.key]) for r in wanted.collect() if r.key in source])
+    one, two = (groups.Group(spark, n, getter, setter=lambda rows: source.update({r.key: r.value for r in rows.collect()})) for n in ("one", "two"))
+    topic = Topic(spark, f"file://{tmp_path}/topic")
+    running = [g.register_mq(topic, f"file://{tmp_path}/c{k}") for k, g in enumerate((one, two))]
+    two.get(keys(spark, "Tom"), 0)
+    one.set(kv(spark, [("Tom", "2")]), 0)
+    for q in running:
+        q.processAllAvailable()
+    assert two.main.count() == 0 and {r.value for r in two.get(keys(spark, "Tom"), 0).collect()} == {"1"}  # l3 is its own here
+    assert one.remove(keys(spark, "Tom")) is None
+    for q in running:
+        q.processAllAvailable()
+        q.stop()
+    assert two.main.count() == 0

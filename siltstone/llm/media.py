@@ -7,9 +7,13 @@ tag.  Such a stream is valid audio: no granule has main data.
 
 ``parse`` reads any stream of Layer I-III frames: it skips tags, finds frame
 headers again after damage (there, a header counts where another of the same
-kind, a tag or the end follows it), reads the variable-bitrate table, verifies the
-CRC-16 of protected Layer III frames, and gives the exact duration in samples
-and the offset of every frame.
+kind, a tag or the end follows it), reads variable-bitrate tables (Xing, Info,
+VBRI) and holds their seek points against the frames found, verifies the CRC-16 of
+protected Layer I and III frames, and gives the exact duration in samples, with
+the encoder's delay and padding where it states them, and the offset of every
+frame.  Of tags it reads the text frames TXXX of ID3v2.3 and 2.4, past extended
+headers and footers.  Not read: free-format frames, whose length no header gives,
+and the checksums of Layer II, which counts them as unchecked.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import utf8
+from .scratch import refuse_clash
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version bits.
 BITRATES = {
@@ -70,6 +75,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    joint: int = 32  # Layer I: the first subband that both channels share
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -80,6 +86,13 @@ class Header:
         """Bytes of side information of Layer III."""
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    @property
+    def guarded(self) -> int | None:
+        """Bytes after the checksum that it covers; None where we don't know."""
+        if self.layer == 3:
+            return self.side
+        return (16 if self.mono else (32 + self.joint) // 2) if self.layer == 1 else None
+
 
 _HEADERS: dict[int, Header | None] = {}
 
@@ -102,7 +115,8 @@ def _header(word: int) -> Header | None:
     kbps, rate, pad = BITRATES[first, layer][bit], RATES[version][freq], (word >> 9) & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     length = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-    return Header(version, layer, not (word >> 16) & 1, kbps, rate, (word >> 6) & 3 == 3, length, samples)
+    mode = (word >> 6) & 3
+    return Header(version, layer, not (word >> 16) & 1, kbps, rate, mode == 3, length, samples, 4 * ((word >> 4) & 3) + 4 if mode == 1 else 32)
 
 
 RATE = 32000  # of stored streams: MPEG-1 Layer III, mono, protected
@@ -168,9 +182,30 @@ class Stream:
     id3v1: bool = False
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
-    toc: bytes = b""
+    table_at: int | None = None
+    seek_points: list[tuple[float, int]] = field(default_factory=list)  # share of the frames, bytes after the table's frame
+    seek_error: int = 0  # what its resolution allows
+    delay: int = 0
+    padding: int = 0
     ancillary: list[bytes] = field(default_factory=list)
 
+    @property
+    def trimmed(self) -> int:
+        """Samples without what the encoder has added."""
+        return max(0, self.samples - self.delay - self.padding)
+
+    def consistent(self, size: int) -> bool:
+        """Whether the variable-bitrate table, if there is one, agrees with the frames."""
+        if self.vbr_frames is None:
+            return True
+        if self.vbr_frames != len(self.offsets) or (self.vbr_bytes or 0) > size:
+            return False
+        places = [*(x - self.table_at for x in self.offsets), size - self.table_at]
+        n = len(self.offsets)
+        return all(
+            places[max(0, int(share * n) - 1)] - self.seek_error <= at <= places[min(n, int(share * n) + 1)] + self.seek_error for share, at in self.seek_points
+        )
+
     def payload(self) -> bytes | None:
         """The stored payload if its tags are there and its checksum holds."""
         data = b"".join(self.ancillary)
@@ -189,9 +224,9 @@ def parse(data: bytes) -> Stream:
     kind, lost = None, False
     while at + 4 <= end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end and max(data[at + 6 : at + 10]) < 128:
-            size = (data[at + 6] << 21) | (data[at + 7] << 14) | (data[at + 8] << 7) | data[at + 9]
-            _read_tags(data[at + 10 : at + 10 + size], out.tags)
-            at += 10 + size
+            size = _unsafe(data[at + 6 : at + 10])
+            _read_tags(data[at + 10 : at + 10 + size], out.tags, data[at + 3], data[at + 5])
+            at += 10 + size + (10 if data[at + 3] == 4 and data[at + 5] & 0x10 else 0)
             lost = False
             continue
         h = header(int.from_bytes(data[at : at + 4], "big"))
@@ -205,13 +240,17 @@ def parse(data: bytes) -> Stream:
             continue
         lost, kind = False, h.kind
         body = at + (6 if h.protected else 4)
+        if h.protected and h.guarded is not None:
+            out.checked += 1
+            out.bad_checks += crc16(data[at + 2 : at + 4] + data[body : body + h.guarded]) != int.from_bytes(data[at + 4 : at + 6], "big")
         if h.layer == 3:
             after = body + h.side
-            if h.protected:
-                out.checked += 1
-                out.bad_checks += crc16(data[at + 2 : at + 4] + data[body:after]) != int.from_bytes(data[at + 4 : at + 6], "big")
-            if not out.offsets and out.vbr_frames is None and data[after : after + 4] in (b"Xing", b"Info"):
-                _read_vbr(data, after, out)
+            if not out.offsets and out.vbr_frames is None and (data[after : after + 4] in (b"Xing", b"Info") or data[at + 36 : at + 40] == b"VBRI"):
+                out.table_at = at
+                if data[at + 36 : at + 40] == b"VBRI":
+                    _read_vbri(data[at + 36 : at + h.length], out)
+                else:
+                    _read_vbr(data[after : at + h.length], out)
                 at += h.length
                 continue
             if not any(data[body:after]):  # no main data: all the rest is ancillary
@@ -231,25 +270,53 @@ def _follows(data: bytes, at: int, end: int, kind: tuple[int, int, int]) -> bool
     return after is not None and after.kind == kind
 
 
-def _read_tags(body: bytes, tags: dict[str, str]) -> None:
+def _unsafe(raw: bytes) -> int:
+    """A number of four times seven bits."""
+    return (raw[0] << 21) | (raw[1] << 14) | (raw[2] << 7) | raw[3]
+
+
+def _read_tags(body: bytes, tags: dict[str, str], version: int = 3, flags: int = 0) -> None:
     at = 0
+    number = _unsafe if version == 4 else lambda raw: int.from_bytes(raw, "big")
+    if flags & 0x40 and len(body) >= 4:  # an extended header; only in 2.4 does its size include itself
+        at = number(body[:4]) + (0 if version == 4 else 4)
     while at + 10 <= len(body) and body[at] != 0:
-        size = int.from_bytes(body[at + 4 : at + 8], "big")
+        size = number(body[at + 4 : at + 8])
         if body[at : at + 4] == b"TXXX" and body[at + 10 : at + 11] == b"\0":
             key, _, value = body[at + 11 : at + 10 + size].partition(b"\0")
             tags[key.decode("latin-1")] = value.decode("latin-1")
         at += 10 + size
 
 
-def _read_vbr(data: bytes, at: int, out: Stream) -> None:
-    flags, at = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8
+def _read_vbr(table: bytes, out: Stream) -> None:
+    """A Xing or Info table, and the delay and padding of an encoder's part behind it."""
+    flags, at = int.from_bytes(table[4:8], "big"), 8
     out.vbr_frames = 0
     if flags & 1:
-        out.vbr_frames, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        out.vbr_frames, at = int.from_bytes(table[at : at + 4], "big"), at + 4
     if flags & 2:
-        out.vbr_bytes, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        out.vbr_bytes, at = int.from_bytes(table[at : at + 4], "big"), at + 4
     if flags & 4:
-        out.toc = data[at : at + 100]
+        toc, at = table[at : at + 100], at + 100
+        if out.vbr_bytes:
+            out.seek_points = [(k / 100, x * out.vbr_bytes // 256) for k, x in enumerate(toc)]
+            out.seek_error = out.vbr_bytes // 256 + 1
+    at += 4 if flags & 8 else 0
+    if table[at : at + 4] in (b"LAME", b"Lavc", b"Lavf") and len(table) >= at + 24:
+        both = int.from_bytes(table[at + 21 : at + 24], "big")
+        out.delay, out.padding = both >> 12, both & 0xFFF
+
+
+def _read_vbri(table: bytes, out: Stream) -> None:
+    """A VBRI table: its seek points are sizes of runs of frames."""
+    if len(table) < 26:
+        return
+    out.delay, _, out.vbr_bytes, out.vbr_frames, entries, scale, width, each = struct.unpack(">HHIIHHHH", table[6:26])
+    at = 0
+    for k in range(entries if out.vbr_frames and len(table) >= 26 + entries * width else 0):
+        at += int.from_bytes(table[26 + k * width : 26 + (k + 1) * width], "big") * scale
+        out.seek_points.append((min(1.0, (k + 1) * each / out.vbr_frames), at))
+    out.seek_error = scale * max(1, entries)
 
 
 def padded(text: bytes) -> bytes:
@@ -262,7 +329,12 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
 
 
 def audio_from_text(docs: DataFrame, keep: list[Column | str] | None = None) -> DataFrame:
-    """Columns ``keep`` of docs with n_bytes and the column media; a null text is empty."""
+    """Columns ``keep`` of docs with n_bytes and the column media; a null text is empty.
+
+    Rows are stored each by itself; equal texts give equal media.  ``keep`` may
+    not have n_bytes, media or _m_text; other columns of docs may.
+    """
+    refuse_clash(keep, "n_bytes", "media", "_m_text")
     kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_m_text"))
     names = kept.columns[:-1]
 
@@ -289,8 +361,10 @@ def read_audio(media: DataFrame, keep: list[str]) -> DataFrame:
 
     ``samples`` / ``sample_rate`` is the exact duration; ``seek_offsets`` has
     the byte offset of every frame.  payload is null where the stream has none
-    or its checksum fails; a null media is an empty stream.
+    or its checksum fails; a null media is an empty stream.  ``keep`` may not have
+    the result's names or _m_media.
     """
+    refuse_clash(keep, *(x.split()[0] for x in PARSED.split(", ")), "_m_media")
     taken = media.select(*keep, F.col("media").alias("_m_media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +376,7 @@ def read_audio(media: DataFrame, keep: list[str]) -> DataFrame:
                 whole = len(data) - (128 if s.id3v1 else 0)
                 rows.append((
                     s.payload(), len(data), hashlib.sha256(data).hexdigest(), s.rate, s.samples, len(s.offsets), s.offsets, s.bad_checks, s.resyncs,
-                    s.vbr_frames is None or (s.vbr_frames == len(s.offsets) and (s.vbr_bytes or 0) <= whole),
+                    s.consistent(whole),
                 ))
             columns = list(zip(*rows)) if rows else [()] * 10
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]

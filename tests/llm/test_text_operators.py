@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -540,6 +541,56 @@ def test_audio_with_damage():
     assert media.crc16(b"123456789") == 0xAEE7  # the check value of CRC-16/CMS
 
 
+def frames_of(word, n, body=b""):
+    h = media._header(word)
+    return [struct.pack(">I", word) + body + bytes(h.length - 4 - len(body)) for _ in range(n)]
+
+
+def test_audio_tables_delay_and_tags_of_other_writers():
+    word = media._word(9)
+    h = media._header(word)
+    start = media._frame_start(9)
+    plain = (start + bytes(h.length - len(start))) * 50
+    lame = b"Info" + struct.pack(">III", 3, 50, 51 * h.length) + b"LAME3.100" + bytes(12) + (576 << 12 | 700).to_bytes(3, "big")
+    first = start + lame + bytes(h.length - len(start) - len(lame))
+    s = media.parse(first + plain)
+    assert (s.delay, s.padding, len(s.offsets), s.trimmed) == (576, 700, 50, 50 * 1152 - 1276) and s.consistent(51 * h.length)
+    runs = [5 * h.length] * 10
+    runs[0] += h.length
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 1105, 80, 51 * h.length, 50, 10, 1, 2, 5) + b"".join(r.to_bytes(2, "big") for r in runs)
+    for good in (True, False):
+        table = vbri if good else vbri[:-20] + bytes(20)
+        first = struct.pack(">I", word | 1 << 16) + bytes(32) + table + bytes(h.length - 36 - len(table))
+        s = media.parse(first + plain)
+        assert (s.vbr_frames, s.vbr_bytes, s.delay, len(s.offsets), s.consistent(51 * h.length)) == (50, 51 * h.length, 1105, 50, good)
+    text = b"\0key\0" + b"v" * 200
+    frame = b"TXXX" + media._synchsafe(len(text)) + b"\0\0" + text
+    tag = b"ID3\x04\0\x50" + media._synchsafe(6 + len(frame)) + media._synchsafe(6) + b"\x01\0" + frame + b"3DI\x04\0\x50" + bytes(4)
+    s = media.parse(tag + plain)
+    assert s.tags == {"key": "v" * 200} and s.resyncs == 0 and len(s.offsets) == 50
+    toc = bytearray(media.store(media.padded(b"x" * 99_999)))
+    assert media.parse(bytes(toc)).consistent(len(toc) - 128)
+    at = toc.index(b"Xing") + 16
+    toc[at : at + 100] = bytes(100)
+    assert not media.parse(bytes(toc)).consistent(len(toc) - 128)
+
+
+def test_audio_checks_of_layer_one():
+    for mode, size in ((0b11, 16), (0b00, 32), (0b0100 << 0 | 0, 32)):
+        word = 0x7FF << 21 | 3 << 19 | 3 << 17 | 5 << 12 | 1 << 10 | (mode & 3) << 6
+        assert media._header(word).guarded == (16 if (mode & 3) == 3 else 32)
+        size = media._header(word).guarded
+        body = bytes(range(1, size + 1))
+        check = media.crc16(struct.pack(">I", word)[2:] + body)
+        good = b"".join(frames_of(word, 3, struct.pack(">H", check) + body))
+        s = media.parse(good)
+        assert (s.checked, s.bad_checks, s.samples) == (3, 0, 3 * 384)
+        bad = bytearray(good)
+        bad[10] ^= 4
+        assert media.parse(bytes(bad)).bad_checks == 1
+    assert media._header(0x7FF << 21 | 3 << 19 | 3 << 17 | 5 << 12 | 1 << 10 | 1 << 6 | 1 << 4).guarded == 20
+
+
 def test_audio_with_syncs_in_the_payload():
     rng = random.Random(1)
     payload = media.padded(b"".join(rng.choice([b"\xff\xfa\xe8\xc0", b"ID3\x03", b"TAG", b"\0", b"\xff"]) for _ in range(9000)))

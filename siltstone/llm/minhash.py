@@ -12,11 +12,13 @@
 5. Buckets that still span several components may hide links between members that
    are no hubs.  Their members' shingles are put in one order, rarest first by a
    sketch of frequencies; linked sets share one of the first few in that order (a
-   prefix, whose length follows from the sizes and the similarity).  So members
-   meet again by those shingles only, which text that many share is not among.
-   Where such a posting spans several components, members outside its main one are
-   compared with all others on their sets, in tiles of bounded size that emit only
-   links.  No link is lost to step 3, and rows don't grow with the pairs of a group.
+   prefix, whose length follows from the sizes and the similarity).  Members whose
+   prefixes nobody of another component shares have no such link and leave, so that
+   documents with much text in common, but little else, are no work.  Of the rest
+   those outside the bucket's main component are held against all others in tiles
+   of bounded size, each pair in the first band where it meets, by size and
+   signature, then on their sets; tiles emit only links.  No link is lost to step 3,
+   and rows don't grow with the pairs of a group.
 
 With 32 bands of 4 a pair of similarity 0.8 meets in none with probability 5e-8.
 """
@@ -180,11 +182,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, pe
     near = tested.join(one, "a").join(two, "b").where(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
     edges = confirmed(scratch.save(near, "near"), "edges")
     component = connected_components(spark, edges, scratch, "component")
-    apart = _apart(scratch, met, component, sigs.select("id", "size"), texts, width, percent)
+    apart = _apart(scratch, met, component, sigs, texts, width, percent)
     if apart is not None:
         edges = edges.unionByName(confirmed(scratch.save(apart, "apart"), "more"))
         component = connected_components(spark, edges, scratch, "whole")
-    scratch.drop("buckets", "met", "involved", "texts", "sigs", "meets", "ranked", "hubs", "near", "edges", "named", "mixed", "inside", "packed", "prefixes", "cross", "postings", "spanning", "apart", "more")
+    scratch.drop("buckets", "met", "involved", "texts", "sigs", "meets", "ranked", "hubs", "near", "edges", "named", "mixed", "inside", "packed", "prefixes", "able", "apart", "more")
     labels = component.select(F.col("node").alias("rep"), "component")
     joined = members.drop("sig").join(labels, "rep", "left")
     found = F.coalesce("component", "rep")
@@ -272,50 +274,54 @@ def prefixes(values: np.ndarray, index: np.ndarray, scale: np.ndarray, percent:
 
 
 def _postings(inside: DataFrame, scale: Broadcast, percent: int) -> DataFrame:
-    """(shingle, id, comp, size, least) of the prefixes of sets (id, comp, shingles)."""
+    """(shingle, id, comp) of the prefixes of sets (id, comp, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("shingles"))
             for i, j in blocks(offsets, BLOCK):
                 index = (offsets[i : j + 1] - offsets[i]) // 4
-                row, shingle, least = prefixes(data[offsets[i] : offsets[j]].view(np.uint32), index, scale.value, percent)
+                row, shingle, _ = prefixes(data[offsets[i] : offsets[j]].view(np.uint32), index, scale.value, percent)
                 at = pa.array(row + i)
-                size = pa.array(np.diff(index)[row])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingle.astype(np.int64)), batch.column("id").take(at), batch.column("comp").take(at), size, pa.array(least)],
-                    ["shingle", "id", "comp", "size", "least"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), batch.column("id").take(at), batch.column("comp").take(at)], ["shingle", "id", "comp"])
 
-    return inside.select("id", "comp", "shingles").mapInArrow(run, "shingle bigint, id bigint, comp bigint, size bigint, least boolean")
+    return inside.select("id", "comp", "shingles").mapInArrow(run, "shingle bigint, id bigint, comp bigint")
 
 
 def _linked(tile: pa.Table, percent: int) -> np.ndarray:
-    """Pairs (a, b) of one tile that lie in different components and share enough shingles."""
-    ids, comps, chunks, least = (tile.column(c).to_numpy() for c in ("id", "comp", "chunk", "least"))
-    held = [np.frombuffer(x, np.uint32) for x in tile.column("shingles").to_pylist()]
-    one, two = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-    left, right = np.flatnonzero(chunks == one), np.flatnonzero(chunks == two)
+    """Pairs (a, b) of one tile that meet in no earlier band, lie in different components and share enough shingles."""
+    ids, comps, chunks, size = (tile.column(c).to_numpy() for c in ("id", "comp", "chunk", "size"))
+    band = tile.column("band")[0].as_py()
+    lanes = pa.compute.list_flatten(tile.column("sig")).to_numpy().reshape(len(ids), BANDS)
+    minima = lanes.view(np.uint16)
+    sets_ = tile.column("shingles")
+    held: dict[int, np.ndarray] = {}
+
+    def shingles_of(k: int) -> np.ndarray:
+        if k not in held:
+            held[k] = np.sort(np.frombuffer(sets_[k].as_py(), np.uint32))
+        return held[k]
+
+    left, right = (np.flatnonzero(chunks == tile.column(c)[0].as_py()) for c in ("i", "j"))
     found = [np.zeros((0, 2), np.int64)]
-    size = np.array([len(x) for x in held])
-    # Only right members that some left member can be linked with by component, size and place in the prefix.
     for k in left:
         may = right[(comps[right] != comps[k]) & (100 * np.minimum(size[right], size[k]) >= percent * np.maximum(size[right], size[k]))]
-        may = may[np.where(size[may] < size[k], least[may], np.where(size[may] > size[k], least[k], least[k] | least[may]))]
+        may = may[(lanes[may] == lanes[k]).argmax(axis=1) == band]
+        may = may[(minima[may] == minima[k]).sum(axis=1) >= LEAST_AGREEMENT]
+        own = shingles_of(int(k)) if len(may) else None
         for lo, hi in blocks(np.concatenate([[0], np.cumsum(size[may])]), GATHERED, 1 << 30):
             part = may[lo:hi]
-            every, owner = np.concatenate([held[x] for x in part]), np.repeat(np.arange(len(part)), size[part])
-            own = np.sort(held[k])
-            spot = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            shared = np.bincount(owner[own[spot] == every], minlength=len(part))
-            other = ids[part[100 * shared >= percent * (size[k] + size[part] - shared)]]
+            every = np.concatenate([shingles_of(m) for m in part.tolist()])
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
+            other = ids[part[100 * shared >= percent * (len(own) + size[part] - shared)]]
             found.append(np.stack([np.maximum(other, ids[k]), np.minimum(other, ids[k])], axis=1))
     return np.unique(np.concatenate(found), axis=0)
 
 
 def _links(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of all tiles; tasks read them in turn and hold one at a time."""
-    names = ["shingle", "i", "j"]
+    names = ["band", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None  # rows of the tile that the next batch may go on with
@@ -324,10 +330,10 @@ def _links(tiles: DataFrame, percent: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            key = np.stack([table.column(c).to_numpy() for c in names])
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
             found = [_linked(table.slice(a, b - a), percent) for a, b in zip(cuts[:-1], cuts[1:])]
-            rest = table.slice(cuts[-1]).combine_chunks()
+            rest = table.slice(cuts[-1])
             if found:
                 yield out(np.concatenate(found))
         if rest is not None:
@@ -340,44 +346,50 @@ def _links(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(
-    scratch: Scratch, met: DataFrame, component: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int
+    scratch: Scratch, met: DataFrame, component: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame | None:
     """Linked pairs (a, b) across the components of buckets; None where no bucket spans several.
 
-    A posting's main component is its largest.  Outsiders and main members are
+    A bucket's main component is its largest.  Outsiders and main members are
     dealt by hash to chunks of about TILE rows and TILE_SHINGLES shingles; a tile
     holds a chunk of outsiders and one other chunk.
     """
-    named = met.select("band", "key", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = scratch.save(named.select("band", "key", "id", F.coalesce("component", "id").alias("comp")), "named")
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "key")
-    inside = scratch.save(named.join(scratch.save(mixed, "mixed"), ["band", "key"], "left_semi").select("id", "comp").distinct(), "inside")
+    labels = component.select(F.col("node").alias("id"), "component")
+    named = met.select("band", "key", "id").join(sigs.select("id", "size"), "id").join(labels, "id", "left")
+    named = scratch.save(named.select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp")), "named")
+
+    def spanning(rows: DataFrame, *by: str) -> DataFrame:
+        """The groups that span several components."""
+        return rows.groupBy(*by).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(*by)
+
+    inside = scratch.save(named.join(spanning(named, "band", "key"), ["band", "key"], "left_semi").select("id", "comp").distinct(), "inside")
     if inside.isEmpty():
         return None
     packed = scratch.save(_packed_sets(texts.join(inside.select("id"), "id", "left_semi"), width).join(inside, "id"), "packed")
     scale = scratch.spark.sparkContext.broadcast(_frequencies(packed))
     every = scratch.save(_postings(packed, scale, percent), "prefixes")
-    cross = every.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
-    postings = scratch.save(every.join(scratch.save(cross, "cross"), "shingle", "left_semi"), "postings")
-    parts = postings.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    spanning = parts.groupBy("shingle").agg(
+    able = scratch.save(every.join(spanning(every, "shingle"), "shingle", "left_semi").select("id").distinct(), "able")
+    named = named.join(able, "id", "left_semi")
+    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = parts.groupBy("band", "key").agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp", "size")).alias("main")
     )
     chunks = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
-    spanning = scratch.save(
-        spanning.where("k > 1").select(
-            "shingle",
+    mixed = scratch.save(
+        mixed.where("k > 1").select(
+            "band",
+            "key",
             F.col("main.comp").alias("main"),
             chunks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"),
             chunks(F.col("main.n"), F.col("main.size")).alias("inner"),
         ),
-        "spanning",
+        "mixed",
     )
     outsider = F.col("comp") != F.col("main")
     spread = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
-    dealt = postings.drop("size").join(spanning, "shingle").withColumn("chunk", F.when(outsider, spread(F.col("outer"))).otherwise(F.col("outer") + spread(F.col("inner"))))
+    dealt = named.join(mixed, ["band", "key"]).withColumn("chunk", F.when(outsider, spread(F.col("outer"))).otherwise(F.col("outer") + spread(F.col("inner"))))
     others = F.sequence(F.lit(0), F.when(outsider, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
-    tiles = dealt.select("shingle", "id", "comp", "least", "chunk", F.explode(others).alias("other")).select(
-        "shingle", "id", "comp", "least", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+    tiles = dealt.select("band", "key", "id", "comp", "size", "chunk", F.explode(others).alias("other")).select(
+        "band", "key", "id", "comp", "size", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
-    return _links(tiles.join(packed.select("id", "shingles"), "id"), percent).distinct()
+    return _links(tiles.join(sigs.select("id", "sig"), "id").join(packed.select("id", "shingles"), "id"), percent).distinct()

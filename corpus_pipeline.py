@@ -2,7 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the docs of
-the next.  All but the last return the columns of documents.
+the next.  All but the last return the columns of documents, whatever they are
+called: operators see all but doc_id and text under names of their own.  Null
+texts, null and repeated ids are as the operators say; a null doc_id has no label
+and is no near-duplicate.  No documents give no rows.
 """
 
 from __future__ import annotations
@@ -19,23 +22,35 @@ from siltstone.session import ship_package, table
 LEAST_QUALITY = 0.3
 
 
+def _hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that no operator uses for all columns but doc_id and text, and those names by the old ones."""
+    names = {c: f"_pl_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), names
+
+
+def _shown(docs: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(names.get(c, c)).alias(c) for c in columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; a fifth of the labels stays unseen for judging it."""
     ship_package(spark)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     model = quality.train(spark, docs, labels)
-    return quality.score(spark, docs, model, docs.columns).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    held, names = _hidden(docs)
+    return _shown(quality.score(spark, held, model, held.columns).where(F.col("quality_score") >= LEAST_QUALITY), names, docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; so does a document of which no text is left."""
     ship_package(spark)
-    found = linededup.dedup_lines(spark, docs)
+    held, names = _hidden(docs)
+    found = linededup.dedup_lines(spark, held)
     left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
+    if "n_chars" in names:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        left = left.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+        left = left.withColumn(names["n_chars"], changed.otherwise(F.col(names["n_chars"])))
+    return _shown(left, names, docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +62,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are words of benchmark passages go."""
     ship_package(spark)
-    found = decontaminate.find_contamination(spark, docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(~decontaminate.is_contaminated(decontaminate.hit_count(), F.col("n_words"))).select(*docs.columns)
+    held, names = _hidden(docs)
+    found = decontaminate.find_contamination(spark, held, table(spark, sf_dir, "benchmark"), held.columns)
+    return _shown(found.where(~decontaminate.is_contaminated(decontaminate.hit_count(), F.col("n_words"))), names, docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

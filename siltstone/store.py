@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .operators import kvlog, sst
 
-LOG_SCHEMA = "key string, batch bigint, n bigint, op string, value string"
-FILE_SCHEMA = "key string, value string, is_deleted boolean, file_no int"
+LOG_SCHEMA = "key {0}, batch bigint, n bigint, op string, value {0}"
+FILE_SCHEMA = "key {0}, value {0}, is_deleted boolean, file_no int"
+VERSION_SCHEMA = "file_no int, smallest {0}, largest {0}, num_entries bigint, data_bytes bigint, next_file_no int, level int"
 FLUSH_BYTES = 4 << 20  # payload of the log after which the next write flushes it first
 
 
@@ -21,11 +22,18 @@ class LogStore:
     """put, delete, get, scan, seek and flush over DataFrames of keys and values.
 
     Within one append the last row of a key in the DataFrame's order wins, so
-    give rows in order; across appends the later append wins.
+    give rows in order; across appends the later append wins.  Keys and values are
+    strings, or bytes with ``kind`` binary.
     """
 
-    def __init__(self, spark: SparkSession, path: str, flush_bytes: int = FLUSH_BYTES):
-        self.spark, self.path, self.flush_bytes = spark, path.rstrip("/"), flush_bytes
+    def __init__(self, spark: SparkSession, path: str, flush_bytes: int = FLUSH_BYTES, kind: str = "string"):
+        if kind not in ("string", "binary"):
+            raise ValueError("kind is string or binary")
+        self.spark, self.path, self.flush_bytes, self.kind = spark, path.rstrip("/"), flush_bytes, kind
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        schema = schema.format(self.kind)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
 
     # Folders
 
@@ -39,15 +47,11 @@ class LogStore:
 
     def log(self) -> DataFrame:
         """Rows that no file has yet."""
-        if not self._exists("log"):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+        return self._read("log", LOG_SCHEMA)
 
     def files(self) -> DataFrame:
         """Entries of all files, tombstones included."""
-        if not self._exists("files"):
-            return self.spark.createDataFrame([], FILE_SCHEMA)
-        return self.spark.read.schema(FILE_SCHEMA).parquet(f"{self.path}/files")
+        return self._read("files", FILE_SCHEMA)
 
     def next_file_no(self) -> int:
         return (self.files().agg(F.max("file_no").alias("m")).first()["m"] or 0) + 1
@@ -60,7 +64,7 @@ class LogStore:
 
     def delete(self, keys: DataFrame) -> None:
         """Append tombstones, also for keys that are absent."""
-        self._append(keys.select("key", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("value")))
+        self._append(keys.select("key", F.lit("delete").alias("op"), F.lit(None).cast(self.kind).alias("value")))
 
     def write_batch(self, rows: DataFrame) -> None:
         """Append (key, op, value) rows as one commit."""
@@ -86,9 +90,23 @@ class LogStore:
         last = kvlog.latest(log.withColumn("seq", F.struct("batch", "n")), "key").select("key", "value", (F.col("op") == "delete").alias("is_deleted"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         last.repartitionByRange(parts, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/files/file_no={number}")
+        self._install(number)
         self._remove("log")
         return number
 
+    def _install(self, number: int) -> None:
+        """Write the bounds of the new file beside those of all files before: the version that ``number`` makes."""
+        name = f"files/file_no={number}"
+        new = sst.manifest(self._read(name, FILE_SCHEMA.rpartition(",")[0]).withColumn("file_no", F.lit(number)))
+        old = self.version(number - 1).withColumn("next_file_no", F.lit(number + 1))
+        columns = [f.split()[0] for f in VERSION_SCHEMA.split(", ")]
+        new.select(*columns).unionByName(old.select(*columns)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/{number}")
+
+    def version(self, number: int | None = None) -> DataFrame:
+        """The files of a version, by default the latest, as they were written at its flush; no file is read."""
+        number = self.next_file_no() - 1 if number is None else number
+        return self._read(f"versions/{number}", VERSION_SCHEMA)
+
     # Reads
 
     def view(self) -> DataFrame:

@@ -48,6 +48,23 @@ def test_store_flushes_when_full_and_keeps_order(spark, tmp_path):
     assert pairs(store.get(keys(spark, "key00", "key01"), strict=False)) == {("key00", "x")}
 
 
+def test_store_of_bytes_and_its_versions(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/db", kind="binary")
+    rows = lambda *r: spark.createDataFrame([tuple(map(bytearray, x)) for x in r], "key binary, value binary")
+    assert store.version().count() == 0
+    store.put(rows((b"\xff\x00", b"\xfe"), (b"a", b"")))
+    assert store.flush() == 1
+    store.delete(rows((b"a", b"")).select("key"))
+    store.put(rows((b"\x00", b"\xff")))
+    assert store.flush() == 2
+    assert [(bytes(r.key), bytes(r.value)) for r in store.scan().collect()] == [(b"\x00", b"\xff"), (b"\xff\x00", b"\xfe")]
+    assert [(bytes(r.key)) for r in store.seek(b"\x01", 5).collect()] == [b"\xff\x00"]
+    for n in (1, 2):
+        got = {(r.file_no, bytes(r.smallest), bytes(r.largest), r.num_entries, r.next_file_no) for r in store.version(n).collect()}
+        assert got == {(1, b"a", b"\xff\x00", 2, n + 1), *({(2, b"\x00", b"a", 2, 3)} if n == 2 else ())}
+    assert {tuple(r) for r in store.version().select("file_no", "data_bytes").collect()} == {tuple(r) for r in store.manifest().select("file_no", "data_bytes").collect()}
+
+
 SCORES = [("Tom", "630"), ("Jack", "589"), ("Sam", "567"), ("Nil", None)]
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import utf8
+from .kernels import cache, tidied, utf8
 
 WINDOW = 13
 MAX_PATTERN_BYTES = 16 << 20
@@ -64,7 +64,7 @@ def pattern_blocks(items: list[tuple[str, str | None]], width: int, limit: int)
     return [[(p.decode("latin-1"), ids) for p, ids in block.items()] for block in found if block]
 
 
-_BUILT: dict[object, ahocorasick.Automaton] = {}
+_BUILT: dict[object, ahocorasick.Automaton] = cache("decontaminate")
 
 
 def _automaton(key: object, patterns: list[tuple[str, list[int]]]) -> ahocorasick.Automaton:
@@ -180,7 +180,7 @@ def find_contamination(
                 own = keep if last else columns
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *out], [*own, "n_words", "hit_words", "hit_spans", "items"])
 
-        return rows.mapInArrow(run, f"{kept if last else given}, {SCHEMA}")
+        return rows.mapInArrow(tidied(run, "decontaminate"), f"{kept if last else given}, {SCHEMA}")
 
     found = text_of
     for k, block in enumerate(blocks):

@@ -6,7 +6,8 @@ bounded size, so that memory does not follow the number of rows in a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,42 @@ UPPER48 = _U(0xFFFFFFFFFFFF0000)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+Batches = Iterator[pa.RecordBatch]
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What an operator keeps between tasks of a worker; tasks of another operator empty it."""
+    return _CACHES.setdefault(owner, {})
+
+
+def _drop_others(owner: str) -> None:
+    for name, held in _CACHES.items():
+        if name != owner:
+            held.clear()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker that waits shares its executor's limit with the others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Batches], Batches], owner: str = "") -> Callable[[Batches], Batches]:
+    """``run`` over batches, leaving no memory behind but the caches of its own operator."""
+
+    def whole(batches: Batches) -> Batches:
+        _drop_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32

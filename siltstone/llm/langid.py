@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import blocks, utf8
+from .kernels import blocks, tidied, utf8
 from .scratch import Scratch, refuse_clash
 
 BUCKETS = 1 << 15
@@ -166,7 +166,7 @@ def train(spark: SparkSession, labelled: DataFrame, buckets: int = BUCKETS, alph
     rows = scratch.save(
         labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("text", "lang")
-        .mapInArrow(count, "lang string, bucket int, n bigint")
+        .mapInArrow(tidied(count), "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n")),
         "counts",
@@ -225,4 +225,4 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Colum
             labels = pa.array([*m.languages, UNDETERMINED]).take(pa.array(np.where(best < 0, len(m.languages), best)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), labels, pa.array(sure)], [*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(tidied(score), f"{schema}, lang_pred string, score double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import blocks, hash_words, mix, utf8
+from .kernels import blocks, hash_words, mix, tidied, utf8
 from .scratch import Scratch, refuse_clash
 from .sharedfiles import map_array, write_array
 
@@ -403,7 +403,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
 
     found = {
         r["shard"]: r
-        for r in texts.mapInArrow(count_words, _BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, distinct bigint, total bigint").collect()
+        for r in texts.mapInArrow(tidied(count_words), _BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, distinct bigint, total bigint").collect()
     }
     rows = found.pop(-1)["distinct"] if -1 in found else 0
     sizes = np.array([found[s]["distinct"] if s in found else 0 for s in range(1 << bits)], np.int64)
@@ -500,7 +500,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
         )
         return pa.table({name: pa.array(x, none[name]) for name, x in zip(none, columns)})
 
-    grams = texts.mapInArrow(count_grams, _BLOBS)
+    grams = texts.mapInArrow(tidied(count_grams), _BLOBS)
     if order == 3:
         grams = grams.groupBy("shard").applyInArrow(store_grams, _BLOBS)
     sums_schema = "part int, kind string, shard int, ids binary, sums binary, tally array<bigint>"
@@ -626,4 +626,4 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column
             columns = [pa.array(np.concatenate(x)) for x in zip(*parts)] if parts else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), *columns], [*names, "n_tokens", "n_known", "base_score", "score"])
 
-    return kept.mapInArrow(run, f"{schema}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return kept.mapInArrow(tidied(run), f"{schema}, n_tokens bigint, n_known bigint, base_score double, score double")

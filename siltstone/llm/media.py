@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import utf8
+from .kernels import tidied, utf8
 from .scratch import refuse_clash
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer), Hz by version bits.
@@ -347,7 +347,7 @@ def audio_from_text(docs: DataFrame, keep: list[Column | str] | None = None) ->
                 [*(batch.column(c) for c in range(len(names))), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], [*names, "n_bytes", "media"]
             )
 
-    return kept.mapInArrow(run, f"{_schema(kept, names)}, n_bytes bigint, media binary")
+    return kept.mapInArrow(tidied(run), f"{_schema(kept, names)}, n_bytes bigint, media binary")
 
 
 PARSED = (
@@ -382,4 +382,4 @@ def read_audio(media: DataFrame, keep: list[str]) -> DataFrame:
             kinds = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [*keep, *(x.split()[0] for x in PARSED.split(", "))])
 
-    return taken.mapInArrow(run, f"{_schema(taken, keep)}, {PARSED}")
+    return taken.mapInArrow(tidied(run), f"{_schema(taken, keep)}, {PARSED}")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import blocks, distinct_by_row, hash_words, mix, row_of, shingles, utf8
+from .kernels import blocks, distinct_by_row, hash_words, mix, row_of, shingles, tidied, utf8
 from .scratch import Scratch
 
 WIDTH = 5
@@ -102,7 +102,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<bigint>"
+        tidied(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<bigint>"
     )
 
 
@@ -133,7 +133,7 @@ def confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
             keep = pa.array(hit)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -218,7 +218,7 @@ def _packed_sets(texts: DataFrame, width: int) -> DataFrame:
                 packed = [short[a:b].tobytes() for a, b in zip(index[:-1].tolist(), index[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return texts.select("id", "text").mapInArrow(tidied(run), "id bigint, shingles binary")
 
 
 def _frequencies(packed: DataFrame) -> np.ndarray:
@@ -244,7 +244,7 @@ def _frequencies(packed: DataFrame) -> np.ndarray:
         scale = np.minimum(255, np.ceil(8 * np.log2(sums + 1.0))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([scale.tobytes()], pa.binary())], ["chunk", "scale"])
 
-    rows = packed.select("shingles").mapInArrow(count, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, scale binary").collect()
+    rows = packed.select("shingles").mapInArrow(tidied(count), "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, scale binary").collect()
     out = np.zeros((1 << SKETCH_BITS - SKETCH_CHUNK_BITS, 1 << SKETCH_CHUNK_BITS), np.uint8)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["scale"], np.uint8)
@@ -285,7 +285,7 @@ def _postings(inside: DataFrame, scale: Broadcast, percent: int) -> DataFrame:
                 at = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), batch.column("id").take(at), batch.column("comp").take(at)], ["shingle", "id", "comp"])
 
-    return inside.select("id", "comp", "shingles").mapInArrow(run, "shingle bigint, id bigint, comp bigint")
+    return inside.select("id", "comp", "shingles").mapInArrow(tidied(run), "shingle bigint, id bigint, comp bigint")
 
 
 def _linked(tile: pa.Table, percent: int) -> np.ndarray:
@@ -342,7 +342,7 @@ def _links(tiles: DataFrame, percent: int) -> DataFrame:
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return tiles.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
+    return tiles.repartition(*names).sortWithinPartitions(*names).mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _apart(

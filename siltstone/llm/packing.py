@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import blocks, hash_words, utf8
+from .kernels import blocks, cache, hash_words, tidied, utf8
 from .ranking import with_rank
 from .scratch import Scratch, refuse_clash
 
@@ -146,7 +146,7 @@ class WordIds:
         return out, start
 
 
-_STORES: dict[tuple, WordIds] = {}
+_STORES: dict[str, WordIds] = cache("packing")
 
 
 def _store(path: str) -> WordIds:
@@ -158,15 +158,18 @@ def _store(path: str) -> WordIds:
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, keep: list[Column | str] | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, squeezed: bool = False
+) -> DataFrame:
     """Columns ``keep`` of docs, a row for each piece; a null text is empty and has the separator alone.
 
     Every row of docs has its own pieces, whatever its doc_id.  ``keep`` may not
     have the result's names or _p_text; other columns of docs may.  ``ids`` are the piece's token ids as little-endian 32-bit integers.
     ``tokenizer`` is the path of a byte-level word vocabulary file that every
-    worker can read.
+    worker can read.  With ``squeezed`` the ids come as ``packed_sequences`` keeps
+    them, with the numbers of task and row, so that they needn't pass a second worker.
     """
-    refuse_clash(keep, "piece", "start", "length", "ids_crc32", "ids", "_p_text")
+    refuse_clash(keep, "piece", "start", "length", "ids_crc32", "ids", "_p_text", "_task", "_row")
     kept = docs.select(*(keep or ["doc_id"]), F.col("text").alias("_p_text"))
     names = kept.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
@@ -195,7 +198,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, keep: list[Column | str] | Non
                 [*names, "piece", "start", "length", "ids_crc32", "ids"],
             )
 
-    return kept.mapInArrow(run, f"{schema}, {PIECES}")
+    if squeezed:
+        return kept.mapInArrow(tidied(lambda batches: _squeeze(run(batches)), "packing"), f"{schema}, {PIECES}, _task bigint, _row bigint")
+    return kept.mapInArrow(tidied(run, "packing"), f"{schema}, {PIECES}")
 
 
 def _ids(words: WordIds, data: np.ndarray, offsets: np.ndarray, separator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,14 +352,17 @@ def packed_sequences(spark: SparkSession, pieces: DataFrame, order: list[str], c
     """The sequences of ``pack``: sequence_id, ids (little-endian 32-bit integers) and pieces.
 
     ``pieces`` of the result is an array of the columns of the argument other
-    than ids and ids_crc32, with offset, in the order of offsets.
+    than ids and ids_crc32, with offset, in the order of offsets.  The argument
+    is that of ``token_pieces``, squeezed or not.
     """
     scratch = Scratch(spark, "sequences")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    tokens = scratch.save(pieces.mapInArrow(_squeeze, f"{schema}, _task bigint, _row bigint"), "tokens")
+    if "_task" not in pieces.columns:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+        pieces = pieces.mapInArrow(_squeeze, f"{schema}, _task bigint, _row bigint")
+    tokens = scratch.save(pieces, "tokens")
     light = tokens.select(*dict.fromkeys(["_task", "_row", "length", *order]))
     placed = pack(spark, light, [*order, "_task", "_row"], capacity).select("_task", "_row", "sequence_id", "offset")
-    names = [c for c in pieces.columns if c not in ("ids", "ids_crc32")] + ["offset"]
+    names = [c for c in pieces.columns if c not in ("ids", "ids_crc32", "_task", "_row")] + ["offset"]
     found = tokens.join(placed, ["_task", "_row"]).select("sequence_id", *names, "ids")
     dealt = found.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     members = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.select(*names).schema)
@@ -393,7 +401,7 @@ def packed_sequences(spark: SparkSession, pieces: DataFrame, order: list[str], c
         if rest is not None:
             yield whole(rest)
 
-    return dealt.mapInArrow(join, f"sequence_id bigint, ids binary, pieces array<struct<{members}>>")
+    return dealt.mapInArrow(tidied(join), f"sequence_id bigint, ids binary, pieces array<struct<{members}>>")
 
 
 def placements(sequences: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import blocks, hash_words, row_of, utf8
+from .kernels import blocks, hash_words, row_of, tidied, utf8
 from .scratch import refuse_clash
 
 PASSAGE = 64
@@ -211,7 +211,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_documents
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", F.col("_q_label").cast("int").alias("label"), F.xxhash64("text").alias("mark"), "text")
-        .mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, mark bigint, x binary")
+        .mapInArrow(tidied(features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, mark bigint, x binary")
     )
     rows = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("x", "mark").alias("x")).toArrow()
     order = sorted(range(rows.num_rows), key=lambda k: (rows["doc_id"][k].as_py(), rows["x"][k].as_py()))
@@ -246,7 +246,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column
                 out[i:j], top[i:j] = _score_block(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(out), pa.array(top)], [*names, "quality_score", "top_passage"])
 
-    return kept.mapInArrow(run, f"{schema}, quality_score double, top_passage bigint")
+    return kept.mapInArrow(tidied(run), f"{schema}, quality_score double, top_passage bigint")
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:

@@ -123,7 +123,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), squeezed=True)
     return packing.placements(packing.packed_sequences(spark, pieces, ["doc_id", "piece", "ids_crc32"]))
 
 

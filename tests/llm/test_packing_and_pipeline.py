@@ -58,10 +58,10 @@ def test_packing_by_several_broadcasts(spark, documents, monkeypatch):
         packing.pack(spark, pieces.withColumn("offset", F.lit(1)), ["doc_id"])
 
 
-@pytest.mark.parametrize("which", ["odd", "documents", "none"])
-def test_packed_sequences_hold_the_ids(spark, which, request):
+@pytest.mark.parametrize(("which", "squeezed"), [("odd", True), ("odd", False), ("documents", True), ("none", True)])
+def test_packed_sequences_hold_the_ids(spark, which, squeezed, request):
     docs = request.getfixturevalue(which)
-    made = packing.packed_sequences(spark, packing.token_pieces(docs, PATH), ["doc_id", "piece", "ids_crc32"])
+    made = packing.packed_sequences(spark, packing.token_pieces(docs, PATH, squeezed=squeezed), ["doc_id", "piece", "ids_crc32"])
     made = Scratch(spark, "t").save(made, "sequences")
     rows, texts = made.collect(), {}
     tokenizer = Tokenizer.from_file(PATH)

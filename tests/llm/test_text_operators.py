@@ -49,6 +49,16 @@ def test_word_hashes_are_like_words():
     assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
 
 
+def test_workers_keep_only_the_caches_of_their_operator():
+    one, two = kernels.cache("test-one"), kernels.cache("test-two")
+    one["a"], two["b"] = 1, 2
+    assert list(kernels.tidied(lambda batches: (b + 1 for b in batches), "test-one")(iter([1, 2]))) == [2, 3]
+    assert one == {"a": 1} and two == {} and kernels.cache("test-two") is two
+    from siltstone.llm import packing
+
+    assert packing._STORES is kernels.cache("packing")
+
+
 # --- op1
 
 

@@ -75,7 +75,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The training sequences of clean documents: sequence_id, ids and pieces."""
     ship_package(spark)
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), squeezed=True)
     return packing.packed_sequences(spark, pieces, ["doc_id", "piece", "ids_crc32"])
 
 
